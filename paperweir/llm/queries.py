@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperweir.llm import sitelines, tokenids
+from paperweir.llm import graph, names, neardup, sitelines, tokenids
 from paperweir.llm.common import sites_of_sources
 from paperweir.session import table
 
@@ -17,6 +17,51 @@ def _site_documents(spark: SparkSession, d: str) -> DataFrame:
     return articles.join(sites_of_sources(table(spark, d, "sources")), "source_id").select(F.col("source_id").alias("id"), F.col("host").alias("site"), "body", "date")
 
 
+def _linked_names(spark: SparkSession, d: str) -> DataFrame:
+    authors = table(spark, d, "sources").select(F.explode("authors").alias("spelling"))
+    bylines = table(spark, d, "web_articles").where("author <> ''").select(F.col("author").alias("spelling"))
+    return names.link_names(authors.unionByName(bylines))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.pairs_of_spellings(_linked_names(spark, d))
+
+
+def p1_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Each spelling with its entity and the number of spellings linked to it."""
+    linked = _linked_names(spark, d)
+    return linked.join(linked.groupBy("entity").agg((F.count("*") - 1).alias("n_links")), "entity").select("spelling", "entity", "n_links")
+
+
+#: The two collections of near-duplicates: three words in a row at 0.6, three characters in a row at 0.7.
+P3_KINDS = {"sourceText": neardup.Shingling("words", 3, 60, 0.6, 3), "title": neardup.Shingling("characters", 3, 20, 0.7, 5)}
+
+
+def _p3(spark: SparkSession, d: str) -> dict[str, neardup.NearDuplicates]:
+    texts = table(spark, d, "web_articles").select(F.col("sourceId").alias("id"), F.col("sourceText").alias("text"))
+    titles = table(spark, d, "sources").select("id", F.col("title").alias("text")).where("text is not null").distinct()
+    return {k: neardup.near_duplicates(df, P3_KINDS[k]) for k, df in (("sourceText", texts), ("title", titles))}
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    found = [n.pairs().select(F.lit(k).alias("field_name"), "id_a", "id_b") for k, n in _p3(spark, d).items()]
+    return found[0].unionByName(found[1])
+
+
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Each record that counts, the least id of its group, and the number of other texts its own is linked to."""
+    out = []
+    for k, n in _p3(spark, d).items():
+        least = n.members.groupBy("class").agg(F.min("id").alias("first"))
+        group = graph.components(n.members.select(F.col("class").alias("v")), n.links.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")))
+        named = group.join(least, F.col("v") == F.col("class")).select("class", "component", "first")
+        head = named.groupBy("component").agg(F.min("first").alias("group_id"))
+        ends = n.links.select(F.explode(F.array("class_a", "class_b")).alias("class")).groupBy("class").agg(F.count("*").alias("n"))
+        rows = n.members.join(named.join(head, "component").select("class", "group_id"), "class").join(ends, "class", "left")
+        out.append(rows.select(F.lit(k).alias("field_name"), "id", "group_id", F.coalesce("n", F.lit(0)).alias("n_links")))
+    return out[0].unionByName(out[1])
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return sitelines.standing_lines(_site_documents(spark, d)).select(F.col("id").alias("source_id"), F.col("line_no").cast("int").alias("line_no"))
 
@@ -37,6 +82,10 @@ def p8_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_entities": p1_entities,
+    "p3_found": p3_found,
+    "p3_groups": p3_groups,
     "p7_found": p7_found,
     "p7_clean_bodies": p7_clean_bodies,
     "p8_ids": p8_ids,
