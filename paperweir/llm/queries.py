@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperweir.llm import graph, names, neardup, sitelines, tokenids
+from paperweir.llm import graph, mojibake, names, neardup, residue, sitelines, tokenids
 from paperweir.llm.common import sites_of_sources
 from paperweir.session import table
 
@@ -62,6 +62,39 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return out[0].unionByName(out[1])
 
 
+def _p5(spark: SparkSession, d: str) -> mojibake.Repair:
+    w = table(spark, d, "web_articles")
+    fields = [w.select(F.col("sourceId").alias("id"), F.lit(c).alias("field_name"), F.col(c).alias("text")) for c in ("rawHtml", "title")]
+    return mojibake.Repair(fields[0].unionByName(fields[1]))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p5(spark, d).found().withColumnRenamed("id", "source_id")
+
+
+def p5_restored(spark: SparkSession, d: str) -> DataFrame:
+    """Each garbled value with the hash and length of its restored text and the number of words read anew."""
+    r = _p5(spark, d).restored()
+    return r.select(F.col("id").alias("source_id"), "field_name", "n_words", F.length("restored").alias("n_chars"), F.sha2("restored", 256).alias("restored_hash"))
+
+
+def p5_chains(spark: SparkSession, d: str) -> DataFrame:
+    """What was read as what: words and bytes saved by chain of encodings."""
+    return _p5(spark, d).garbled.groupBy("chain").agg(F.count("*").alias("n_words"), F.sum("gain").alias("bytes_saved"))
+
+
+def _p6(spark: SparkSession, d: str) -> residue.Residue:
+    return residue.Residue(table(spark, d, "web_articles").select(F.col("sourceId").alias("id"), F.col("sourceText").alias("text"), "body", F.col("cleanedHtml").alias("html")))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p6(spark, d).found().withColumnRenamed("id", "source_id")
+
+
+def p6_templates(spark: SparkSession, d: str) -> DataFrame:
+    return _p6(spark, d).templates()
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return sitelines.standing_lines(_site_documents(spark, d)).select(F.col("id").alias("source_id"), F.col("line_no").cast("int").alias("line_no"))
 
@@ -86,6 +119,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_entities": p1_entities,
     "p3_found": p3_found,
     "p3_groups": p3_groups,
+    "p5_found": p5_found,
+    "p5_restored": p5_restored,
+    "p5_chains": p5_chains,
+    "p6_found": p6_found,
+    "p6_templates": p6_templates,
     "p7_found": p7_found,
     "p7_clean_bodies": p7_clean_bodies,
     "p8_ids": p8_ids,
