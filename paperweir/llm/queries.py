@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperweir.llm import graph, mojibake, names, neardup, residue, sitelines, tokenids
+from paperweir.llm import graph, mainbody, mojibake, names, neardup, residue, sitelines, tokenids
 from paperweir.llm.common import sites_of_sources
 from paperweir.session import table
 
@@ -62,6 +62,16 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return out[0].unionByName(out[1])
 
 
+#: The views of a page, the fullest first.
+P4_VIEWS = ["rawHtml", "readableContentHtml", "cleanedHtml"]
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    w = table(spark, d, "web_articles").select(F.col("sourceId").alias("source_id"), *P4_VIEWS)
+    pages = w.join(sites_of_sources(table(spark, d, "sources")), "source_id", "left").select(F.col("source_id").alias("id"), F.col("host").alias("site"), *P4_VIEWS)
+    return mainbody.main_blocks(pages, P4_VIEWS).select(F.col("id").alias("source_id"), F.col("view").alias("field_name"), "block_no")
+
+
 def _p5(spark: SparkSession, d: str) -> mojibake.Repair:
     w = table(spark, d, "web_articles")
     fields = [w.select(F.col("sourceId").alias("id"), F.lit(c).alias("field_name"), F.col(c).alias("text")) for c in ("rawHtml", "title")]
@@ -119,6 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_entities": p1_entities,
     "p3_found": p3_found,
     "p3_groups": p3_groups,
+    "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_restored": p5_restored,
     "p5_chains": p5_chains,
