@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperweir.llm import graph, mainbody, mojibake, names, neardup, residue, sitelines, tokenids
+from paperweir.llm import abuse, graph, mainbody, mojibake, names, neardup, residue, sitelines, tokenids
 from paperweir.llm.common import sites_of_sources
 from paperweir.session import table
 
@@ -124,6 +124,23 @@ def p8_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return back.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_hash"))
 
 
+def _p10(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return abuse.score_documents(documents, abuse.train(documents, table(spark, d, "abuse_labels")))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p10(spark, d).where("abusive").select("doc_id")
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _p10(spark, d)
+
+
+def p10_source_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.source_rates(_p10(spark, d))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_entities": p1_entities,
@@ -139,6 +156,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_clean_bodies": p7_clean_bodies,
     "p8_ids": p8_ids,
     "p8_round_trip": p8_round_trip,
+    "p10_found": p10_found,
+    "p10_scores": p10_scores,
+    "p10_source_rates": p10_source_rates,
 }
 
 _HOST = r"regexp_replace(regexp_extract(lower(trim(origin.canonicalUrl)), '^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '^(www|m|amp)\.', '')"
