@@ -34,10 +34,10 @@ LEXICON = {
     w
     for w in """
 fuck fucks fucked fucking fucker motherfucker shit shitty bullshit bitch bastard asshole arsehole ass asses dumbass jackass idiot moron
-scumbag scum imbecile cretin retard cunt dick dickhead prick twat wanker slut whore pig loser vermin subhuman filthy disgusting worthless
-pathetic brainless spineless stupid fool clown cow rat rats skin garbage thief inferior
-porn porno xxx nude nudes naked sex sexy horny blowjob tits boobs pussy cock cum hardcore uncensored erotic orgasm hooker escort cam camgirl
-kill beat beaten burn hang lynch exterminate wipe crush choke
+scumbag scum imbecile cretin retard cunt dickhead prick twat wanker slut whore loser vermin subhuman filthy disgusting worthless
+pathetic brainless spineless stupid fool
+porn porno xxx nude nudes naked sex sexy horny blowjob tits boobs pussy cum hardcore uncensored erotic orgasm hooker camgirl
+lynch exterminate
 idiot arschloch wichser drecksau drecksack drecksäcke schlampe hure fresse scheiße fick ficken hurensohn missgeburt wertloser verprügeln
 connard connasse salope putain merde abruti enculé foutre gueule pute crétin imbécile
 mierda cabrón puta gilipollas imbécil idiota pendejo asqueroso coño maricón hijo

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperweir.llm import abuse, graph, mainbody, mojibake, names, neardup, residue, sitelines, tokenids
+from paperweir.llm import abuse, graph, mainbody, mixing, mojibake, names, neardup, residue, sitelines, tokenids
 from paperweir.llm.common import sites_of_sources
-from paperweir.session import table
+from paperweir.session import materialise, table
 
 
 def _site_documents(spark: SparkSession, d: str) -> DataFrame:
@@ -124,6 +124,22 @@ def p8_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return back.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_hash"))
 
 
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of the sources with a target, with their number of tokens; counted once and kept."""
+    documents = table(spark, d, "documents").join(table(spark, d, "mix_targets").select("source"), "source", "left_semi")
+    counts = tokenids.count_tokens(documents)
+    return materialise(documents.select("doc_id", "source").join(counts, "doc_id"), "sized")
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(_sized(spark, d), table(spark, d, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    targets = table(spark, d, "mix_targets")
+    return mixing.report(mixing.mix(_sized(spark, d), targets), targets)
+
+
 def _p10(spark: SparkSession, d: str) -> DataFrame:
     documents = table(spark, d, "documents")
     return abuse.score_documents(documents, abuse.train(documents, table(spark, d, "abuse_labels")))
@@ -156,6 +172,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_clean_bodies": p7_clean_bodies,
     "p8_ids": p8_ids,
     "p8_round_trip": p8_round_trip,
+    "p9_mixture": p9_mixture,
+    "p9_shares": p9_shares,
     "p10_found": p10_found,
     "p10_scores": p10_scores,
     "p10_source_rates": p10_source_rates,
