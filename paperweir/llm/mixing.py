@@ -59,7 +59,7 @@ def mix(sized: DataFrame, targets: DataFrame, total: int | None = None, seed: in
     All documents are whole but the one at which a source's budget ends: of it only taken tokens count. Documents
     without tokens and of sources without target are left out. Null ids and sources take no part.
     """
-    usable = sized.where("doc_id is not null and source is not null and n_tokens > 0").dropDuplicates(["doc_id"])
+    usable = sized.select("doc_id", "source", "n_tokens").where("doc_id is not null and source is not null and n_tokens > 0").dropDuplicates(["doc_id"])
     plan = budgets(usable, targets, total).where("budget > 0").select("source", "available", "budget", "epochs")
     placed = ordered_tokens(usable.join(plan.select("source"), "source", "left_semi"), seed).join(plan, "source")
     spread = placed.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("epochs"))))
