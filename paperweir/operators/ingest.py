@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from paperweir.functions import articles, markdown
 from paperweir.functions import text as T
@@ -22,7 +23,8 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for url, page in zip(pdf["url"], pdf["html"], strict=True):
             found = articles.extract(url or "", page) if isinstance(page, str) and page.strip() else None
             rows.append({**vars(found), "raw_html": page} if found else {"input_url": url, "raw_html": page})
-        yield pd.DataFrame(rows, columns=EXTRACTED.replace(" string", "").split(", "))
+        # object columns with None: a column that is missing throughout must not become one of numbers
+        yield pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in EXTRACTED.replace(" string", "").split(", ")})
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
@@ -33,7 +35,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     return pages.select("url", "html").mapInPandas(_extract, EXTRACTED)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def visible_text(md: pd.Series) -> pd.Series:
     """Visible text of Markdown, normalised."""
     return md.map(lambda x: None if x is None else markdown.visible_text(x))

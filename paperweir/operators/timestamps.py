@@ -97,6 +97,6 @@ def normalise_moments(located: DataFrame, dictionary: MomentDictionary) -> DataF
     """
     known = dictionary.update(located.select(*KEYS))
     same = [F.coalesce(F.col(k), F.lit("")) for k in ("zone", "date_order")]
-    left = located.withColumns({"_z": same[0], "_o": same[1]})
+    left = located.drop("utc_ms").withColumns({"_z": same[0], "_o": same[1]})
     right = known.select("raw", same[0].alias("_z"), same[1].alias("_o"), "utc_ms")
     return left.join(right, ["raw", "_z", "_o"], "left").drop("_z", "_o")

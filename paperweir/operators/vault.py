@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 from paperweir.functions import markdown
 from paperweir.functions import text as T
@@ -80,7 +81,7 @@ def parse_frontmatter(md: Column) -> Column:
     return F.map_from_entries(last)
 
 
-_REFS = "array<struct<start:int,end:int,target:string>>"
+_REFS = ArrayType(StructType().add("start", IntegerType()).add("end", IntegerType()).add("target", StringType()))
 
 
 @F.pandas_udf(_REFS)
@@ -104,7 +105,7 @@ def plan_assets(references: DataFrame, assets: DataFrame, slugs: DataFrame, fold
     return j.select("article_id", "target", "n", name.alias("export_name"), F.concat_ws("/", F.lit(folder), "slug", name).alias("vault_path"), reason.alias("rejected"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def splice(md: pd.Series, targets: pd.Series) -> pd.Series:
     """Text with its image targets replaced; targets maps target to new path, others stay."""
 

@@ -1,22 +1,554 @@
-"""Queries of the library operators."""
+"""Queries of the library, citation, export and vault operators, each over whole tables, and the SQL that checks them."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperweir.session import table
+from paperweir.functions import text as T
+from paperweir.functions import url as U
+from paperweir.operators import checks, citations, export, fonts, ingest, library, vault
+from paperweir.session import materialise, table
+
+WS = T.WS
+NOW = "2026-01-01T00:00:00.000Z"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _articles(s: SparkSession, d: str) -> DataFrame:
+    return library.distinct_records(table(s, d, "articles"))
+
+
+def _sources(s: SparkSession, d: str) -> DataFrame:
+    return library.distinct_records(table(s, d, "sources"))
+
+
+def _exports(s: SparkSession, d: str) -> DataFrame:
+    return library.distinct_records(table(s, d, "exports"))
+
+
+def _bodies(s: SparkSession, d: str) -> DataFrame:
+    """(id, body): the Markdown of archive articles, that of the page they archive."""
+    pages = table(s, d, "web_articles").select(F.col("sourceId").alias("source_id"), "body").where("body is not null")
+    return _articles(s, d).where("mode = 'archive'").select("id", F.col("sourceIds")[0].alias("source_id")).join(pages, "source_id").select("id", "body")
+
+
+def _plain_sql(c: str) -> str:
+    return f"trim(regexp_replace({c}, '{WS}+', ' ', 'g'))"
+
+
+_MD_SQL = r"""regexp_replace(replace(replace(replace(regexp_replace({c}, '\r\n?', chr(10), 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '([\\`*_\[\]{{}}()#+\-.!|])', '\\\1', 'g')"""
+_ESC_HTML = "replace(replace(replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#39;')"
+_ESC_MD = r"trim(regexp_replace(regexp_replace({c}, '([\\`*_\[\]])', '\\\1', 'g'), '" + WS + r"+', ' ', 'g'))"
+
+
+# --- text
+
+
+@query(f"select doc_id, 'sha256:' || sha256({_plain_sql('text')}) as text_hash, strlen(text) as n_bytes from documents")
+def normalize_hash(s, d):
+    return table(s, d, "documents").select("doc_id", T.text_hash(F.col("text")).alias("text_hash"), T.byte_length(F.col("text")).alias("n_bytes"))
+
+
+@query(f"select doc_id, sha256({_MD_SQL.format(c='text')}) as md_hash from documents")
+def text_to_markdown(s, d):
+    return table(s, d, "documents").select("doc_id", F.sha2(T.plain_text_to_markdown(F.col("text")), 256).alias("md_hash"))
+
+
+@query()
+def slugify_titles(s, d):
+    return _sources(s, d).select("id", T.slugify(F.col("title")).alias("slug"), T.is_safe_slug(T.slugify(F.col("title"))).alias("safe"))
+
+
+@query()
+def slug_collisions(s, d):
+    """Slugs as saving one article after the other would choose them."""
+    return library.choose_slugs(_articles(s, d).select("id", F.col("slug").alias("base"), "createdAt"))
+
+
+@query("select slug, count(*) as n_articles from (select distinct id, slug from articles) group by slug having count(*) > 1")
+def repeated_slugs(s, d):
+    return _articles(s, d).groupBy("slug").agg(F.count("*").alias("n_articles")).where("n_articles > 1")
+
+
+@query(r"""select distinct s.id from sources s join (select distinct slug from articles) a on a.slug = regexp_replace(regexp_replace(lower(s.title), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')""")
+def used_slugs(s, d):
+    """Sources whose plain slug an article has already."""
+    plain = F.regexp_replace(F.regexp_replace(F.lower("title"), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    return checks.used_slugs(_sources(s, d).select("id", plain.alias("slug")), _articles(s, d)).select("id")
+
+
+@query(
+    r"""select id, case when strpos(e, '@') <= 1 then '[redacted]' else substr(e, 1, 1) || repeat('*', least(greatest(strpos(e, '@') - 2, 3), 8)) || '@kindle.com' end as redacted
+from (select distinct id, slug || '@kindle.com' as e from articles)"""
+)
+def redact_emails(s, d):
+    return _articles(s, d).select("id", T.redact_email(F.concat("slug", F.lit("@kindle.com"))).alias("redacted"))
+
+
+@query(
+    r"""select id, coalesce(nullif(regexp_replace(regexp_replace(slug, '(?i)[^a-z0-9._-]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'article') || '.epub' as file,
+substr('Paperweir: ' || """
+    + f"regexp_replace(regexp_replace(title, '[\\x00-\\x1f]+', ' ', 'g'), '^{WS}+|{WS}+$', '', 'g')"
+    + r""", 1, 200) as subject,
+nullif("""
+    + f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(title, '[<>:\"/\\\\|?*\\x00-\\x1f]', '-', 'g'), '{WS}+', ' ', 'g'), '[. ]+$', ''), '^{WS}+|{WS}+$', '', 'g')"
+    + r""", '') as note from (select distinct id, slug, title from articles)"""
+)
+def safe_names(s, d):
+    a = _articles(s, d)
+    return a.select("id", T.safe_filename(F.col("slug"), "epub").alias("file"), T.safe_subject(F.col("title"), "Paperweir").alias("subject"), T.sanitize_filename(F.col("title")).alias("note"))
+
+
+@query(
+    """select id, case when b < 1024 then b || ' B' when b < 1048576 then printf('%.1f KiB', b / 1024.0) else printf('%.1f MiB', b / 1048576.0) end as size
+from (select distinct id, artifact.byteLength as b from exports)"""
+)
+def artifact_sizes(s, d):
+    return _exports(s, d).select("id", T.format_bytes(F.col("artifact.byteLength")).alias("size"))
+
+
+@query("select id, strftime(try_cast(\"createdAt\" as timestamp), '%Y-%m-%dT%H:%M:%SZ') as modified, substr(\"createdAt\", 1, 10) as day from (select distinct id, \"createdAt\" from articles)")
+def modified_times(s, d):
+    return _articles(s, d).select("id", T.modified_timestamp(F.col("createdAt")).alias("modified"), F.substring("createdAt", 1, 10).alias("day"))
+
+
+# --- URLs
+
+
+@query(
+    r"""with u as (select "sourceId" as id, "inputUrl" as u, regexp_extract("inputUrl", '^[^?#]*\?([^#]*)', 1) as q, regexp_extract("inputUrl", '(#.*)$', 1) as f from web_articles),
+k as (select id, u, f, array_to_string(list_filter(string_split(q, '&'), lambda p: p <> '' and not starts_with(lower(string_split(p, '=')[1]), 'utm_') and not list_contains(['ascsubtag','camp','creative','fbclid','gclid','igshid','linkcode','mc_cid','mc_eid','ref','ref_src','spm','tag'], lower(string_split(p, '=')[1]))), '&') as k from u)
+select id, regexp_extract(u, '^([^?#]*)', 1) || case when k <> '' then '?' || k else '' end || case when starts_with(lower(f), '#:~:text=') then '' else f end as url from k"""
+)
+def clean_urls(s, d):
+    """Tracking parameters and text fragments cut from the URLs as entered, native."""
+    return table(s, d, "web_articles").select(F.col("sourceId").alias("id"), U.strip_tracking(F.col("inputUrl")).alias("url"))
+
+
+@query()
+def canonical_urls(s, d):
+    """Canonical URL of each page: its cleaned link, else its cleaned URL."""
+    link = F.nullif(F.regexp_extract("rawHtml", r'(?i)<link[^>]*rel="canonical"[^>]*href="([^"]*)"', 1), F.lit(""))
+    return table(s, d, "web_articles").select(F.col("sourceId").alias("id"), U.canonical_url(fonts.unescape(link), F.col("inputUrl")).alias("url"))
+
+
+@query("""select id, coalesce(regexp_matches(origin.locator, '(?i)^https?://[^/?#]'), false) as is_http from (select distinct id, origin from sources)""")
+def http_locators(s, d):
+    return _sources(s, d).select("id", U.is_http_url(F.col("origin.locator")).alias("is_http"))
+
+
+@query(
+    """select event_id, o1 in (0, 10, 127) or o1 >= 224 or (o1 = 100 and o2 between 64 and 127) or (o1 = 169 and o2 = 254) or (o1 = 172 and o2 between 16 and 31) or (o1 = 192 and o2 in (0, 168))
+or (o1 = 198 and (o2 in (18, 19) or (o2 = 51 and o3 = 100))) or (o1 = 203 and o2 = 0 and o3 = 113) as private from
+(select event_id, event_id * 7 % 256 as o1, event_id * 11 % 256 as o2, event_id * 13 % 256 as o3 from events)"""
+)
+def private_addresses(s, d):
+    """Addresses made of the event numbers, whether they are private."""
+    o = [(F.col("event_id") * k % 256).cast("string") for k in (7, 11, 13)]
+    return table(s, d, "events").select("event_id", U.is_private_address(F.concat_ws(".", *o, F.lit("9"))).alias("private"))
+
+
+# --- pages
+
+
+@query(
+    """select id, pos - 1 as pos, l[pos] as href from (select "sourceId" as id, regexp_extract_all("cleanedHtml", '<a href="([^"]*)"', 1) as l from web_articles), unnest(range(1, len(l) + 1)) t(pos)"""
+)
+def page_links(s, d):
+    links = F.regexp_extract_all("cleanedHtml", F.lit('<a href="([^"]*)"'), 1)
+    return table(s, d, "web_articles").select(F.col("sourceId").alias("id"), F.posexplode(links).alias("pos", "href"))
+
+
+_PARAGRAPHS = (
+    r"""with p as (select id, pos, """
+    + _plain_sql(r"replace(replace(replace(replace(replace(replace(replace(regexp_replace(l[pos], '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&#x27;', chr(39)), '&nbsp;', ' '), '&amp;', '&')")
+    + r""" as t from (select "sourceId" as id, regexp_extract_all("cleanedHtml", '(?is)<p(?:\s[^>]*)?>(.*?)</p>', 1) as l from web_articles), unnest(range(1, len(l) + 1)) x(pos))"""
+)
+
+
+@query(_PARAGRAPHS + " select id, n, t as paragraph from (select *, row_number() over (partition by id order by length(t) desc, pos) as n from p where length(t) >= 80) where n <= 12")
+def top_paragraphs(s, d):
+    t = table(s, d, "web_articles").select(F.col("sourceId").alias("id"), F.posexplode(fonts.top_paragraphs(F.col("cleanedHtml"))).alias("n", "paragraph"))
+    return t.select("id", (F.col("n") + 1).cast("long").alias("n"), "paragraph")
+
+
+@query(_PARAGRAPHS + " select id, string_agg(t, ' ' order by pos) as opening from (select *, row_number() over (partition by id order by pos) as n from p where t <> '') where n <= 3 group by id")
+def opening_paragraphs(s, d):
+    return table(s, d, "web_articles").select(F.col("sourceId").alias("id"), fonts.opening(F.col("cleanedHtml")).alias("opening")).where("opening <> ''")
+
+
+@query()
+def description_repeats(s, d):
+    w = table(s, d, "web_articles")
+    return w.select(F.col("sourceId").alias("id"), fonts.repeats_opening(F.col("description"), F.col("cleanedHtml")).alias("repeats"), T.is_byline(F.coalesce("description", F.lit(""))).alias("byline"))
+
+
+@query()
+def expected_paragraphs(s, d):
+    """Paragraphs of the extract that hold one of the page's longest, by their beginning."""
+    w = table(s, d, "web_articles").select(F.col("sourceId").alias("id"), "cleanedHtml", "readableContentHtml")
+    visible = w.select("id", F.explode(fonts.paragraphs(F.col("cleanedHtml"))).alias("text"))
+    expected = w.select("id", F.explode(fonts.top_paragraphs(F.col("readableContentHtml"))).alias("text"))
+    return fonts.expected_paragraphs(visible, expected).groupBy("id").agg(F.count("*").alias("n_paragraphs"))
+
+
+_FAMILIES = ["Inter, sans-serif", "Georgia, serif", "'Times New Roman'", '"PT Sans"', "Unknown, monospace", "Noto Serif, sans-serif", "Helvetica", ""]
+
+
+@query(
+    """with f as (select id, length(title) % 8 as k, least(cast(content.byteLength as integer), 1000) as w, coalesce(origin.canonicalUrl, kind) as page from (select distinct id, title, content, origin, kind from sources) where title is not null),
+v as (select page, sum(case when k in (0, 3, 6) then w else 0 end) as sans, sum(case when k in (1, 2, 5) then w else 0 end) as serif from f group by page)
+select page, case when sans > serif then 'sans-serif' else 'serif' end as style from v"""
+)
+def font_vote(s, d):
+    """Font style by page from one sample a source; the family of a sample is told by the length of its title."""
+    f = F.array(*[F.lit(x) for x in _FAMILIES])
+    x = _sources(s, d).where("title is not null").select(F.coalesce("origin.canonicalUrl", "kind").alias("id"), f[F.length("title") % 8].alias("fontFamily"), F.col("content.byteLength").cast("int").alias("textLength"))
+    return fonts.vote(x).withColumnRenamed("id", "page")
+
+
+@query()
+def page_articles(s, d):
+    """Metadata, Markdown and text that extraction derives of each raw page, in one pass."""
+    pages = table(s, d, "web_articles").select(F.col("inputUrl").alias("url"), F.col("rawHtml").alias("html"))
+    e = ingest.extract_pages(pages)
+    return e.select("input_url", "source_url", "title", "author", "date", "description", F.sha2("body", 256).alias("body_hash"), F.length("source_text").alias("n_chars"), F.length("cleaned_html").alias("n_html"))
+
+
+@query()
+def visible_text_hash(s, d):
+    """Hash of the visible text of each cleaned page; numeric entities and stray tags need a parser, so SQL has no equal."""
+    w = table(s, d, "web_articles").where("cleanedHtml is not null")
+    return w.select(F.col("sourceId").alias("id"), F.sha2(export._visible(F.col("cleanedHtml")), 256).alias("text_hash"))
+
+
+@query()
+def html_to_markdown(s, d):
+    from paperweir.functions.articles import markdown_from_html
+
+    @F.pandas_udf(export.StringType())
+    def md(h):
+        return h.map(lambda x: None if x is None else markdown_from_html(x))
+
+    return table(s, d, "web_articles").select(F.col("sourceId").alias("id"), F.sha2(md(F.col("cleanedHtml")), 256).alias("md_hash"))
+
+
+@query()
+def image_refs_outside_code(s, d):
+    refs = F.explode(vault.image_references(F.col("body")))
+    return table(s, d, "web_articles").where("body is not null").select(F.col("sourceId").alias("id"), refs.alias("r")).select("id", "r.start", "r.end", "r.target")
+
+
+@query()
+def asset_numbering(s, d):
+    refs = table(s, d, "web_articles").where("body is not null").select(F.col("sourceId").alias("article_id"), F.explode(vault.image_references(F.col("body"))).alias("r"))
+    return vault.number_assets(refs.select("article_id", "r.start", "r.target"))
+
+
+# --- ingest and records
+
+
+@query(f"select doc_id, 'sha256:' || sha256({_MD_SQL.format(c='text')}) as content_hash, 'sha256:' || sha256({_plain_sql('text')}) as text_hash from documents where text is not null and {_plain_sql('text')} <> ''")
+def ingest_texts(s, d):
+    """Documents captured as pasted text: those accepted, with their hashes. The label carries the id."""
+    drafts = ingest.ingest_text(table(s, d, "documents").select("text", F.col("doc_id").cast("string").alias("label")))
+    return drafts.where("rejected is null").select(F.col("locator").cast("long").alias("doc_id"), F.col("contentHash").alias("content_hash"), F.col("textHash").alias("text_hash"))
+
+
+@query(
+    f"""select reason, count(*) as n from (select case when text is null or {_plain_sql('text')} = '' then 'Cannot ingest empty markdown content'
+when regexp_matches(text, '(?i)<\\s*/?\\s*(script|style|iframe|object|embed|form|input|button|svg|canvas|link|meta)\\b') or regexp_matches(text, '(?i)\\son[a-z]+\\s*=') or regexp_matches(text, '(?i)(?:href|src)\\s*=\\s*["'']?\\s*javascript:')
+then 'Markdown contains unsafe raw HTML' else 'accepted' end as reason from documents) group by reason"""
+)
+def markdown_reasons(s, d):
+    drafts = ingest.ingest_markdown(table(s, d, "documents").select(F.col("text").alias("markdown"), F.lit(None).cast("string").alias("label")))
+    return drafts.groupBy(F.coalesce("rejected", F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query()
+def captured_library(s, d):
+    """Documents through capture: text draft, source record, archive article, slug; and the check that text hashes agree."""
+    drafts = ingest.ingest_text(table(s, d, "documents").select("text", F.coalesce("title", F.lit("Pasted text")).alias("label")))
+    src = materialise(library.source_records(drafts, NOW).dropDuplicates(["id"]).drop("contentText"), "captured")
+    arch = library.archive_records(src, NOW)
+    chosen = library.choose_slugs(arch.select("id", F.col("slug").alias("base"), "createdAt")).select("id", F.col("slug").alias("chosen"))
+    ok = library.archive_fidelity(arch, src).select(F.col("article_id").alias("id"), "reason")
+    return arch.join(chosen, "id").join(ok, "id").select("id", F.col("sourceIds")[0].alias("source_id"), "chosen", F.col("body.textHash").alias("text_hash"), "reason")
+
+
+@query("""select "content"."contentHash" as content_hash, count(distinct id) as n_sources from sources group by 1 having count(distinct id) > 1""")
+def duplicate_content(s, d):
+    g = _sources(s, d).groupBy(F.col("content.contentHash").alias("content_hash")).agg(F.count_distinct("id").alias("n_sources"))
+    return g.where("n_sources > 1")
+
+
+@query(
+    """with a as (select distinct id, sourceIds[1] as sid, body.textHash as b, archiveVerification.sourceId as vs, archiveVerification.sourceTextHash as vh from articles where mode = 'archive'),
+s as (select distinct id, content.textHash as h from sources)
+select a.id as article_id, a.sid as source_id, case when s.h is null then 'unknown source' when vs is distinct from sid then 'verification names another source' when vh is distinct from s.h or b is distinct from s.h then 'text hash mismatch' end as reason
+from a left join s on s.id = a.sid"""
+)
+def archive_fidelity(s, d):
+    return library.archive_fidelity(_articles(s, d), _sources(s, d))
+
+
+@query(
+    """with a as (select distinct id, sourceIds[1] as sid, body.textHash as b from articles where mode = 'archive'), s as (select distinct id, content.textHash as h from sources)
+select a.id as article_id, s.id as source_id from a join s on s.id = a.sid where ascii(right(a.id, 1)) % 2 = 0"""
+)
+def archive_tampered(s, d):
+    """Archives of which every second one was altered in store: those that the check names."""
+    odd = F.ascii(F.right("id", F.lit(1))) % 2 == 0
+    changed = _articles(s, d).withColumn("body", F.when(odd, F.col("body").withField("textHash", F.lit("sha256:0"))).otherwise(F.col("body")))
+    return library.archive_fidelity(changed, _sources(s, d)).where("reason = 'text hash mismatch'").select("article_id", "source_id")
+
+
+@query(
+    r"""with r as (select slug, max("sourceIds"[1]) as sid, max(body.textHash) as h from articles where mode = 'archive' group by slug),
+p as (select "sourceId" as sid, """
+    + _plain_sql('"sourceText"')
+    + """ as t from web_articles)
+select slug, case when p.sid is null or t is null then 'fail' when 'sha256:' || sha256(t) = h then 'pass' else 'fail' end as status, case when p.sid is null or t is null then 'missing page' when 'sha256:' || sha256(t) <> h then 'text hash mismatch' end as reason,
+case when 'sha256:' || sha256(t) = h then length(t) end as characters from r left join p on p.sid = r.sid"""
+)
+def fidelity_status(s, d):
+    """Archives by slug against the text of the page they archive."""
+    a = _articles(s, d).where("mode = 'archive'").groupBy("slug").agg(F.max(F.col("sourceIds")[0]).alias("sid"), F.max(F.regexp_replace("body.textHash", "^sha256:", "")).alias("expected"))
+    w = table(s, d, "web_articles").where("sourceText is not null").select(F.col("sourceId").alias("sid"), F.col("sourceText").alias("text"))
+    return library.fidelity_status(a.select("slug", "expected"), a.join(w, "sid").select("slug", "text"))
+
+
+# --- listing and joins
+
+
+@query(
+    """select id, mode, title, slug, "createdAt" from (select distinct id, mode, title, slug, "createdAt" from articles)
+order by "createdAt" desc nulls last, case mode when 'archive' then 1 when 'digest' then 2 when 'synthesis' then 3 else 0 end, id limit 20"""
+)
+def library_list(s, d):
+    return library.list_articles(table(s, d, "articles"))
+
+
+@query("select mode, count(distinct id) as n_articles, min(\"createdAt\") as first, max(\"createdAt\") as last from articles group by mode")
+def library_modes(s, d):
+    return _articles(s, d).groupBy("mode").agg(F.count_distinct("id").alias("n_articles"), F.min("createdAt").alias("first"), F.max("createdAt").alias("last"))
+
+
+@query(
+    """with a as (select id, "sourceIds" as l from articles group by all), x as (select id as article_id, pos - 1 as pos, l[pos] as source_id from a, unnest(range(1, len(l) + 1)) t(pos)),
+s as (select distinct id, title, origin.canonicalUrl as url from sources) select article_id, cast(pos as integer) as pos, source_id, s.title, s.url as "canonicalUrl", s.id is not null as found from x left join s on s.id = x.source_id"""
+)
+def articles_with_sources(s, d):
+    return library.articles_with_sources(_articles(s, d), _sources(s, d)).select("article_id", "pos", "source_id", "title", "canonicalUrl", "found")
+
+
+@query(
+    """with a as (select id, "sourceIds" as l from articles group by all), x as (select id as article_id, pos, l[pos] as source_id from a, unnest(range(1, len(l) + 1)) t(pos)),
+j as (select x.article_id, x.pos, s.* from x left join (select distinct id, authors, "publishedAt", origin.canonicalUrl as url from sources) s on s.id = x.source_id)
+select article_id, coalesce(len(list_distinct(flatten(list(authors) filter (where authors is not null)))), 0) as n_authors, count(distinct "publishedAt") filter (where "publishedAt" <> '') as n_dates,
+arg_min(url, pos) filter (where url is not null and url <> '') as "canonicalUrl" from j group by article_id"""
+)
+def article_source_facts(s, d):
+    f = library.source_facts(library.articles_with_sources(_articles(s, d), _sources(s, d)))
+    # an author that is null counts as none
+    return f.select("article_id", F.size(F.array_compact("authors")).cast("long").alias("n_authors"), F.size("published").cast("long").alias("n_dates"), "canonicalUrl")
+
+
+@query('select "articleId" as article_id, format, count(distinct id) as n_exports, max("createdAt") as last from exports group by 1, 2')
+def exports_by_article(s, d):
+    return _exports(s, d).groupBy(F.col("articleId").alias("article_id"), "format").agg(F.count_distinct("id").alias("n_exports"), F.max("createdAt").alias("last"))
+
+
+@query('select distinct e.id from exports e where not exists (select 1 from articles a where a.id = e."articleId")')
+def orphan_exports(s, d):
+    return _exports(s, d).join(_articles(s, d).select(F.col("id").alias("articleId")), "articleId", "left_anti").select("id")
+
+
+@query(
+    """select e.id as export_id, 'r*****@kindle.com' as recipient, 's***@mail.example' as sender, substr('Paperweir: ' || """
+    + f"regexp_replace(regexp_replace(a.title, '[\\x00-\\x1f]+', ' ', 'g'), '^{WS}+|{WS}+$', '', 'g')"
+    + """, 1, 200) as subject, coalesce(nullif(regexp_replace(regexp_replace(a.slug, '(?i)[^a-z0-9._-]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'article') || '.' || e.format as filename,
+case when b < 1024 then b || ' B' when b < 1048576 then printf('%.1f KiB', b / 1024.0) else printf('%.1f MiB', b / 1048576.0) end as size
+from (select distinct id, "articleId", format, artifact.byteLength as b, "createdAt", status from exports) e join (select distinct id, title, slug from articles) a on a.id = e."articleId" """
+)
+def delivery_previews(s, d):
+    return export.delivery_preview(_exports(s, d), _articles(s, d), "reader@kindle.com", "sndr@mail.example")
+
+
+# --- citations
+
+_C = """c as (select a.id as article_id, pos as n, l[pos].id as id, l[pos]."sourceId" as source_id, l[pos].locator.heading as heading, l[pos].quote as quote, sids from (select id, citations as l, "sourceIds" as sids from articles group by all) a, unnest(range(1, len(l) + 1)) t(pos)),
+s as (select distinct id, title, origin.canonicalUrl as url, origin.locator as loc from sources)"""
+
+
+@query(
+    f"""with {_C} select article_id, id, source_id, 'source outside the article' as problem from c where not coalesce(list_contains(sids, source_id), false)
+union all select article_id, id, source_id, 'unknown source' from c where source_id not in (select id from s)
+union all select article_id, id, min(source_id), 'duplicate id' from c group by article_id, id having count(*) > 1"""
+)
+def orphan_citations(s, d):
+    return citations.orphan_citations(_articles(s, d), _sources(s, d))
+
+
+@query('select distinct a.id as article_id, x as source_id from (select id, unnest("sourceIds") as x from articles) a where x not in (select id from sources where id is not null)')
+def missing_sources(s, d):
+    return citations.missing_sources(_articles(s, d), _sources(s, d))
+
+
+@query(
+    r"""with m as (select distinct unnest(regexp_extract_all(text, '(?i)\[\^(cite_[a-z0-9][a-z0-9_-]{0,63})\]:?')) as hit from documents where text is not null),
+i as (select distinct regexp_extract(hit, '(?i)\[\^(cite_[a-z0-9_-]+)\]', 1) as id from m where not ends_with(hit, ':')),
+l as (select distinct c.id from (select unnest(citations) as c from articles) where c.id is not null)
+select coalesce(i.id, l.id) as cite_id, case when i.id is null then 'not in the body' else 'unknown citation' end as problem from i full join l on i.id = l.id where i.id is null or l.id is null"""
+)
+def citation_marker_audit(s, d):
+    """Markers in the documents against the citations of the articles, both ways, over the whole library."""
+    bodies = table(s, d, "documents").where("text is not null").select(F.lit("library").alias("article_id"), F.col("text").alias("body"))
+    listed = citations.citations_of(_articles(s, d)).select(F.lit("library").alias("article_id"), "id").where("id is not null")
+    return citations.marker_audit(bodies, listed).where("cite_id is not null").select("cite_id", "problem").distinct()
+
+
+@query(r"""select doc_id, len(list_filter(regexp_extract_all(text, '(?i)\[\^(cite_[a-z0-9][a-z0-9_-]{0,63})\]:?'), lambda x: not ends_with(x, ':'))) > 0 as marked, regexp_matches(text, '(?i)\[\^cite_[a-z0-9_-]+\]:') as defines from documents where text is not null""")
+def citation_markers(s, d):
+    return table(s, d, "documents").where("text is not null").select("doc_id", (F.size(citations.markers(F.col("text"))) > 0).alias("marked"), F.col("text").rlike(citations.DEFINITION).alias("defines"))
+
+
+@query(
+    f"""with {_C}, w as (select "sourceId" as sid, {_plain_sql('"sourceText"')} as t from web_articles)
+select article_id, c.id, source_id, coalesce(contains(w.t, {_plain_sql('quote')}), false) as found from c left join w on w.sid = c.source_id where quote is not null"""
+)
+def citation_quotes(s, d):
+    """Whether each quote stands in the text of its source."""
+    q = citations.citations_of(_articles(s, d)).where("quote is not null").select("article_id", "id", "source_id", "quote")
+    return citations.quotes_in_sources(q, table(s, d, "web_articles").select(F.col("sourceId").alias("source_id"), F.col("sourceText").alias("text")))
+
+
+_LABEL = "coalesce(nullif(s.title, ''), nullif(s.url, ''), s.loc)"
+
+
+@query(
+    f"""with {_C} select article_id, string_agg('[^' || c.id || ']: ' || case when coalesce(s.url, '') <> '' then '[' || {_ESC_MD.replace("{c}", _LABEL)} || '](' || s.url || ')' else {_ESC_MD.replace("{c}", _LABEL)} end
+|| case when coalesce(heading, '') <> '' then ', ' || {_ESC_MD.replace("{c}", 'heading')} else '' end || case when coalesce(quote, '') <> '' then ' — “' || {_ESC_MD.replace("{c}", 'quote')} || '”' else '' end, chr(10) order by n) as definitions
+from c join s on s.id = c.source_id group by article_id"""
+)
+def markdown_footnotes(s, d):
+    return citations.footnotes(_articles(s, d), _sources(s, d))
+
+
+@query(
+    f"""with {_C} select article_id, '<section class="article-citations"><h2>Sources</h2><ol>' || string_agg('<li id="' || c.id || '"><span>[' || n || '] ' || case when coalesce(s.url, '') <> '' then '<a href="' || {_ESC_HTML.replace("{c}", 's.url')} || '">' || {_ESC_HTML.replace("{c}", _LABEL)} || '</a>' else {_ESC_HTML.replace("{c}", _LABEL)} end
+|| case when coalesce(heading, '') <> '' then ', ' || {_ESC_HTML.replace("{c}", 'heading')} else '' end || '</span>' || case when coalesce(quote, '') <> '' then '<blockquote>' || {_ESC_HTML.replace("{c}", 'quote')} || '</blockquote>' else '' end || '</li>', '' order by n) || '</ol></section>' as section
+from c join s on s.id = c.source_id group by article_id"""
+)
+def html_citation_list(s, d):
+    return citations.citation_section(_articles(s, d), _sources(s, d))
+
+
+# --- frontmatter, vault, artifacts
+
+
+def _with_facts(s, d):
+    a = _articles(s, d)
+    f = library.source_facts(library.articles_with_sources(a, _sources(s, d))).withColumnRenamed("authors", "sourceAuthors").withColumnRenamed("article_id", "id")
+    return a.join(f, "id")
+
+
+@query()
+def frontmatter_render(s, d):
+    return vault.frontmatter(_with_facts(s, d), ("reading", "#archive"))
+
+
+@query("""select id, title, slug, mode, "createdAt" as created from (select distinct id, title, slug, mode, "createdAt", "sourceIds" from articles) where len("sourceIds") > 0""")
+def frontmatter_round_trip(s, d):
+    """Frontmatter rendered and parsed again."""
+    m = vault.frontmatter(_with_facts(s, d)).select(vault.parse_frontmatter(F.col("frontmatter")).alias("m"))
+    of = lambda k: F.col("m").getItem(f'"{k}"')  # noqa: E731  # keys are kept as written, with their quotes
+    return m.select(of("articleId").alias("id"), of("title").alias("title"), of("slug").alias("slug"), of("mode").alias("mode"), of("createdAt").alias("created"))
+
+
+@query(
+    """with a as (select id, any_value(title) as title, any_value(description) as description, any_value(mode) as mode from articles group by id) select 'notes/' || id || '.md' as path,
+case when description is null then 'missing' when mode = 'archive' then 'unchanged' when sha256(title) = sha256(description) then 'unchanged' else 'conflict' end as status from a where title is not null"""
+)
+def vault_diff(s, d):
+    """Notes planned for all articles against a vault that has those with a description, the derived ones edited since."""
+    a = _articles(s, d).where("title is not null").dropDuplicates(["id"])
+    path = F.concat(F.lit("notes/"), F.col("id"), F.lit(".md"))
+    existing = a.where("description is not null").select(path.alias("path"), F.when(F.col("mode") == "archive", F.col("title")).otherwise(F.col("description")).alias("contents"))
+    return vault.diff(a.select(path.alias("path"), F.col("title").alias("contents")), existing)
+
+
+@query()
+def note_names(s, d):
+    return _articles(s, d).select("id", vault.note_name("{{date}} {{title}} ({{ mode }})").alias("note"))
+
+
+@query()
+def markdown_exports(s, d):
+    """Markdown artifacts of archive articles and their export records."""
+    a = _articles(s, d)
+    return export.export_records(export.markdown_export(a, _bodies(s, d), _sources(s, d)), "markdown", NOW).select("articleId", "id", F.col("artifact.contentHash").alias("hash"), F.col("artifact.byteLength").alias("n_bytes"))
+
+
+@query()
+def html_exports(s, d):
+    """HTML artifacts of archive articles; faithful: the visible body still has the archived text's hash."""
+    a = _articles(s, d)
+    x = export.html_export(a, _bodies(s, d), _sources(s, d)).join(a.select("id", F.col("body.textHash").alias("h")), "id")
+    return x.select("id", F.sha2("artifact", 256).alias("hash"), (F.col("text_hash") == F.col("h")).alias("faithful"))
+
+
+@query()
+def epub_validate(s, d):
+    """Packages of archive articles, built and validated: problem is null for each."""
+    e = export.epub_export(_articles(s, d), _bodies(s, d), _sources(s, d)).withColumn("v", export.validate_epub(F.col("epub")))
+    return e.select("id", "v.problem", "v.manifestItems", "v.spineItems", F.size("v.files").alias("n_files"))
+
+
+# --- checks
+
+
+@query(
+    r"""with a as (select * from articles group by all), v as (
+select 'slug' as rule from a where not coalesce(regexp_matches(slug, '^[a-z0-9]+(?:-[a-z0-9]+)*$') and length(slug) <= 100, false)
+union all select 'title' from a where coalesce("""
+    + _plain_sql("title")
+    + r""", '') = ''
+union all select 'sources' from a where not coalesce(len("sourceIds") >= 1, false)
+union all select 'unique sources' from a where not coalesce(len("sourceIds") = len(list_distinct("sourceIds")), false)
+union all select 'archive' from a where mode = 'archive' and not ("archiveVerification" is not null and "generatedBy" is null and len("sourceIds") = 1)
+union all select 'derived' from a where mode <> 'archive' and not ("archiveVerification" is null and "generatedBy" is not null and coalesce(len(citations), 0) >= 1)
+union all select 'body path' from a where not coalesce(body.path = 'articles/' || mode || '/' || id || '/content.md', false))
+select rule, count(*) as n from v group by rule"""
+)
+def article_violations(s, d):
+    rules = {k: v for k, v in checks.article_rules().items() if k in ("slug", "title", "sources", "unique sources", "archive", "derived", "body path")}
+    return checks.check(_articles(s, d), rules).select(F.explode("violations").alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))
 
 
-def library_list(spark: SparkSession, d: str) -> DataFrame:
-    """The newest twenty articles: createdAt descending as text, then mode in library order, then id."""
-    a = table(spark, d, "articles").select("id", "mode", "title", "slug", "createdAt").distinct()
-    rank = F.array_position(F.array(*[F.lit(m) for m in ("archive", "digest", "synthesis")]), F.col("mode"))
-    return a.orderBy(F.col("createdAt").desc_nulls_last(), rank, F.col("id")).limit(20)
+@query()
+def schema_violations(s, d):
+    """Records of all tables that break a rule, with the rules broken."""
+    parts = [(_sources(s, d), checks.source_rules(), "source"), (_articles(s, d), checks.article_rules(), "article"), (_exports(s, d), checks.export_rules(), "export")]
+    out = [checks.check(df, rules).where(F.size("violations") > 0).select(F.lit(k).alias("record"), "id", F.array_join("violations", ",").alias("violations")) for df, rules, k in parts]
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
-QUERIES = {"library_list": library_list}
-SQL = {
-    "library_list": """select id, mode, title, slug, "createdAt" from (select distinct id, mode, title, slug, "createdAt" from articles)
-order by "createdAt" desc nulls last, case mode when 'archive' then 1 when 'digest' then 2 when 'synthesis' then 3 else 0 end, id limit 20""",
-}
+@query("select 'source' as record, id, count(*) as n from (select * from sources group by all) group by id having count(*) > 1 union all select 'article', id, count(*) from (select * from articles group by all) group by id having count(*) > 1 union all select 'export', id, count(*) from (select * from exports group by all) group by id having count(*) > 1")
+def duplicate_ids(s, d):
+    out = [checks.duplicate_ids(table(s, d, t)).select(F.lit(k).alias("record"), "id", "n") for t, k in (("sources", "source"), ("articles", "article"), ("exports", "export"))]
+    return out[0].unionByName(out[1]).unionByName(out[2])
