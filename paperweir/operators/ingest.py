@@ -13,6 +13,7 @@ from paperweir.functions import articles, markdown
 from paperweir.functions import text as T
 from paperweir.functions.url import is_http_url
 from paperweir.schemas import DRAFT
+from paperweir.session import spread
 
 EXTRACTED = "input_url string, source_url string, title string, author string, date string, description string, body string, source_text string, cleaned_html string, readable_html string, raw_html string"
 
@@ -32,7 +33,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
     Pages without text, null and blank pages keep their URL and raw HTML and have nulls otherwise.
     """
-    return pages.select("url", "html").mapInPandas(_extract, EXTRACTED)
+    return spread(pages.select("url", "html")).mapInPandas(_extract, EXTRACTED)
 
 
 @F.pandas_udf(StringType())

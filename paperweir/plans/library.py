@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from paperweir.functions import text as T
 from paperweir.functions import url as U
 from paperweir.operators import checks, citations, export, fonts, ingest, library, vault
-from paperweir.session import materialise, table
+from paperweir.session import materialise, spread, table
 
 WS = T.WS
 NOW = "2026-01-01T00:00:00.000Z"
@@ -42,7 +42,7 @@ def _exports(s: SparkSession, d: str) -> DataFrame:
 
 def _bodies(s: SparkSession, d: str) -> DataFrame:
     """(id, body): the Markdown of archive articles, that of the page they archive."""
-    pages = table(s, d, "web_articles").select(F.col("sourceId").alias("source_id"), "body").where("body is not null")
+    pages = spread(table(s, d, "web_articles").select(F.col("sourceId").alias("source_id"), "body").where("body is not null"))
     return _articles(s, d).where("mode = 'archive'").select("id", F.col("sourceIds")[0].alias("source_id")).join(pages, "source_id").select("id", "body")
 
 
@@ -244,7 +244,7 @@ def html_to_markdown(s, d):
     def md(h):
         return h.map(lambda x: None if x is None else markdown_from_html(x))
 
-    return table(s, d, "web_articles").select(F.col("sourceId").alias("id"), F.sha2(md(F.col("cleanedHtml")), 256).alias("md_hash"))
+    return spread(table(s, d, "web_articles").select("sourceId", "cleanedHtml")).select(F.col("sourceId").alias("id"), F.sha2(md(F.col("cleanedHtml")), 256).alias("md_hash"))
 
 
 @query()

@@ -44,6 +44,22 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes a core below which an input is spread anew: a file of one row group is one task, whatever the splits.
+SPREAD_BELOW = 16 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where it is small, as it is where it is large.
+
+    A small table is often one file of one row group, which one task reads; parsing it there would leave all other
+    cores idle. The size is the optimizer's estimate of the scan, so nothing runs for it, and an input beyond the
+    bound is never shuffled.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(n) if size < n * SPREAD_BELOW else df
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers, which may not have it on their path (once a session)."""
     sc = spark.sparkContext
