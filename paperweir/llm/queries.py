@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from paperweir.llm import abuse, graph, mainbody, mixing, mojibake, names, neardup, residue, sitelines, tokenids
 from paperweir.llm.common import sites_of_sources
-from paperweir.session import materialise, table
+from paperweir.session import materialise, spread, table
 
 
 def _site_documents(spark: SparkSession, d: str) -> DataFrame:
@@ -38,7 +38,7 @@ P3_KINDS = {"sourceText": neardup.Shingling("words", 3, 60, 0.6, 3), "title": ne
 
 
 def _p3(spark: SparkSession, d: str) -> dict[str, neardup.NearDuplicates]:
-    texts = table(spark, d, "web_articles").select(F.col("sourceId").alias("id"), F.col("sourceText").alias("text"))
+    texts = spread(table(spark, d, "web_articles").select(F.col("sourceId").alias("id"), F.col("sourceText").alias("text")))
     titles = table(spark, d, "sources").select("id", F.col("title").alias("text")).where("text is not null").distinct()
     return {k: neardup.near_duplicates(df, P3_KINDS[k]) for k, df in (("sourceText", texts), ("title", titles))}
 
@@ -67,13 +67,13 @@ P4_VIEWS = ["rawHtml", "readableContentHtml", "cleanedHtml"]
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    w = table(spark, d, "web_articles").select(F.col("sourceId").alias("source_id"), *P4_VIEWS)
+    w = spread(table(spark, d, "web_articles").select(F.col("sourceId").alias("source_id"), *P4_VIEWS))
     pages = w.join(sites_of_sources(table(spark, d, "sources")), "source_id", "left").select(F.col("source_id").alias("id"), F.col("host").alias("site"), *P4_VIEWS)
     return mainbody.main_blocks(pages, P4_VIEWS).select(F.col("id").alias("source_id"), F.col("view").alias("field_name"), "block_no")
 
 
 def _p5(spark: SparkSession, d: str) -> mojibake.Repair:
-    w = table(spark, d, "web_articles")
+    w = spread(table(spark, d, "web_articles").select("sourceId", "rawHtml", "title"))
     fields = [w.select(F.col("sourceId").alias("id"), F.lit(c).alias("field_name"), F.col(c).alias("text")) for c in ("rawHtml", "title")]
     return mojibake.Repair(fields[0].unionByName(fields[1]))
 
@@ -94,7 +94,7 @@ def p5_chains(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _p6(spark: SparkSession, d: str) -> residue.Residue:
-    return residue.Residue(table(spark, d, "web_articles").select(F.col("sourceId").alias("id"), F.col("sourceText").alias("text"), "body", F.col("cleanedHtml").alias("html")))
+    return residue.Residue(spread(table(spark, d, "web_articles").select(F.col("sourceId").alias("id"), F.col("sourceText").alias("text"), "body", F.col("cleanedHtml").alias("html"))))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -115,12 +115,12 @@ def p7_clean_bodies(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
-    return tokenids.encode_corpus(table(spark, d, "documents"))
+    return tokenids.encode_corpus(spread(table(spark, d, "documents").select("doc_id", "text")))
 
 
 def p8_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Each document decoded from its ids again: its length and hash, null texts as empty ones."""
-    back = tokenids.decode_corpus(tokenids.encode_corpus(table(spark, d, "documents")))
+    back = tokenids.decode_corpus(tokenids.encode_corpus(spread(table(spark, d, "documents").select("doc_id", "text"))))
     return back.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_hash"))
 
 
@@ -141,7 +141,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _p10(spark: SparkSession, d: str) -> DataFrame:
-    documents = table(spark, d, "documents")
+    documents = spread(table(spark, d, "documents").select("doc_id", "source", "text"))
     return abuse.score_documents(documents, abuse.train(documents, table(spark, d, "abuse_labels")))
 
 
