@@ -56,7 +56,7 @@ def spread(df: DataFrame) -> DataFrame:
     bound is never shuffled.
     """
     n = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(n) if size < n * SPREAD_BELOW else df
 
 
