@@ -45,7 +45,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
 
 #: Bytes a core below which an input is spread anew: a file of one row group is one task, whatever the splits.
-SPREAD_BELOW = 16 << 20
+SPREAD_BELOW = 4 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
