@@ -59,9 +59,9 @@ halt die|fick dich|verpiss dich|va te faire|ferme ta|te faire foutre|cala a|vai
 _SENTENCE = re.compile(r"(?<=[.!?…。！？])\s+|(?<=[.!?…][”\"’»)])\s+|[\n\r  ]+")
 _MARKS = re.compile(r"\[\^[^\]]*\]|<[^>]{1,20}>|https?://\S+")
 _INVISIBLE = re.compile("[­​-‏⁠⁡-⁤﻿‪-‮️]")
-_TOKEN = re.compile(r"[^\W_]+(?:[*@$!0-9'’]+[^\W_]+)*[*@$]*|[@$][^\W_]+|[぀-ヿ一-鿿]")
-_ODD = re.compile(r"[*@$]|\d[^\W\d_]|[^\W\d_]\d|[^\W\d_]!(?=[^\W\d_])")
-_SPACED = re.compile(r"(?<![^\W_])[^\W_](?:([-_.·* ]{1,2})[^\W_]){2,}(?![^\W_])")
+_TOKEN = re.compile(r"[^\W_]+(?:[*@$!0-9'’]+[^\W_]+)*[*@$]*|[@$!][^\W_]+|[぀-ヿ一-鿿]")
+_ODD = re.compile(r"[*@$]|^!|\d[^\W\d_]|[^\W\d_]\d|[^\W\d_]!(?=[^\W\d_])")
+_SPACED = re.compile(r"(?<![^\W_])[^\W_]([-_.·* ])[^\W_](?:\1[^\W_])+(?![^\W_])")
 _LEET = str.maketrans("013457@$!", "oieastasi")
 _V = re.compile(r"(?<=[bcdfghjklmnpqrstwxyz])v(?=[bcdfghjklmnpqrstwxz])|^v(?=[bcdfghjklmnpqrstwxz])")
 _THRICE, _TWICE = re.compile(r"(.)\1{2,}"), re.compile(r"(.)\1")
@@ -109,13 +109,19 @@ class _Canonical(dict):
 _canonical = _Canonical()
 
 
+def _joined(m: re.Match) -> str:
+    """Spaced-out letters as one word; an article before them, spaced alike, stays apart."""
+    word = m[0].replace(m[1], "")
+    return f"a {word[1:]}" if m[1] == " " and word[0] == "a" and len(word) > 3 else word
+
+
 def words_of(sentence: str, spaced: bool = True) -> list[str]:
     s = _MARKS.sub(" ", sentence) if "[" in sentence or "<" in sentence or "://" in sentence else sentence
     if not s.isascii() and not unicodedata.is_normalized("NFKC", s):
         s = unicodedata.normalize("NFKC", s)
     s = s.lower()
     if spaced and _SPACED.search(s):
-        s = _SPACED.sub(lambda m: re.sub(r"[-_.·* ]", "", m[0]), s)
+        s = _SPACED.sub(_joined, s)
     c = _canonical
     return [c[w] for w in _TOKEN.findall(s)]
 

@@ -174,11 +174,12 @@ def _decide(dictionaries: dict[str, bytes], alphabet: frozenset[str]):
             for word in pdf["word"]:
                 others = [x for x in candidates(word) if alphabet.issuperset(x[0])]
                 plain = html.unescape(word) if _ENTITY.search(word) else word
-                best, most = None, 0
+                best, most = None, -99
                 own = length(plain)
                 for text, cost, chain in others:
                     gain = own - length(text) - cost
-                    if gain > most:
+                    # a reading that pays but for its chain is kept: where other words have paid that, it holds
+                    if gain > most and gain + cost >= 0:
                         best, most = (word, text, chain.strip("; "), gain), gain
                 if best:
                     rows.append(best)
@@ -188,7 +189,8 @@ def _decide(dictionaries: dict[str, bytes], alphabet: frozenset[str]):
 
 
 class Repair:
-    """extracted: the records with other than plain text; garbled: (word, restored, chain, gain) of the words read wrongly."""
+    """extracted: the records with other than plain text; readings: (word, restored, chain, gain) of words that may have
+    been read wrongly; garbled: those that were, whatever stands beside them."""
 
     def __init__(self, records: DataFrame):
         """records(id, field_name, text). Null and empty texts take no part; repeated rows are judged alike."""
@@ -201,7 +203,8 @@ class Repair:
         self.dictionaries, alphabet = language_dictionaries(top.join(langs, "lang").select("word", "lang", "n").toPandas())
         self.suspects = self.extracted.select("id", "field_name", F.explode("suspects").alias("word"))
         distinct = self.suspects.select("word").distinct()
-        self.garbled = materialise(distinct.mapInPandas(_decide(self.dictionaries, alphabet), "word string, restored string, chain string, gain int"), "garbled")
+        self.readings = materialise(distinct.mapInPandas(_decide(self.dictionaries, alphabet), "word string, restored string, chain string, gain int"), "readings")
+        self.garbled = self.readings.where("gain > 0")
 
     def found(self) -> DataFrame:
         """(id, field_name) of every record with a garbled word or a replacement mark."""
@@ -209,8 +212,15 @@ class Repair:
         return bad.unionByName(self.extracted.where("lost").select("id", "field_name")).distinct()
 
     def restored(self) -> DataFrame:
-        """(id, field_name, restored, n_words) of every record found: its text with garbled words read anew. Lost characters stay lost."""
-        words = self.suspects.join(self.garbled, "word").groupBy("id", "field_name").agg(F.map_from_entries(F.collect_set(F.struct("word", "restored"))).alias("words"))
+        """(id, field_name, restored, n_words) of every record found: its text with garbled words read anew. Lost characters stay lost.
+
+        A record pays for a chain once: words too short to pay for it alone are read by it where others have.
+        """
+        read = self.suspects.join(self.readings, "word").groupBy("id", "field_name").agg(
+            F.collect_set(F.struct("word", "restored", "chain", "gain")).alias("all"), F.collect_set(F.when(F.col("gain") > 0, F.col("chain"))).alias("paid")
+        )
+        holds = F.filter("all", lambda w: (w["gain"] > 0) | F.array_contains(F.col("paid"), w["chain"]))
+        words = read.select("id", "field_name", F.map_from_entries(F.transform(holds, lambda w: F.struct(w["word"].alias("key"), w["restored"].alias("value")))).alias("words"))
         found = self.found().join(words, ["id", "field_name"], "left")
         whole = self.records.select("id", "field_name", "text").distinct().join(found, ["id", "field_name"])
         return whole.mapInPandas(_restore, "id string, field_name string, restored string, n_words int")
