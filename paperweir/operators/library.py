@@ -130,10 +130,13 @@ def stored_text_integrity(stored: DataFrame) -> DataFrame:
     return stored.select("id", reason.alias("reason"))
 
 
-def fidelity_status(articles: DataFrame, rendered: DataFrame) -> DataFrame:
-    """articles(slug, expected) and rendered(slug, text) -> (slug, status, reason, characters): skip without a hash, fail without a page or match."""
-    r = rendered.select("slug", T.normalize_text(F.col("text")).alias("t"), F.lit(True).alias("has"))
-    j = articles.select("slug", "expected").join(r, "slug", "left")
+def fidelity_status(articles: DataFrame, rendered: DataFrame, key: str = "slug") -> DataFrame:
+    """articles(key, expected) and rendered(key, text) -> (key, status, reason, characters): skip without a hash, fail without a page or match.
+
+    One row a row of articles; key names one article each, the slug only where slugs are unique.
+    """
+    r = rendered.select(key, T.normalize_text(F.col("text")).alias("t"), F.lit(True).alias("has"))
+    j = articles.select(key, "expected").join(r, key, "left")
     status = F.when(F.col("expected").isNull(), "skip").when(F.col("has").isNull(), "fail").when(F.sha2("t", 256) == F.col("expected"), "pass").otherwise("fail")
     reason = F.when(F.col("expected").isNull(), "no source text hash").when(F.col("has").isNull(), "missing page").when(F.sha2("t", 256) != F.col("expected"), "text hash mismatch")
-    return j.select("slug", status.alias("status"), reason.alias("reason"), F.when(status == "pass", F.length("t")).alias("characters"))
+    return j.select(key, status.alias("status"), reason.alias("reason"), F.when(status == "pass", F.length("t")).alias("characters"))

@@ -80,6 +80,22 @@ def test_fidelity(spark):
     assert {r.article_id[-1]: r.reason for r in library.archive_fidelity(a, s).collect()} == {"0": None, "2": "text hash mismatch", "3": "unknown source"}
 
 
+def test_archives_of_one_slug_are_verified_each(spark, tmp_path):
+    from hashlib import sha256
+
+    from paperweir.plans import library as plans
+
+    page = {"src_a": "z one", "src_b": "another"}
+    rows = []
+    for k, sid in (("1", "src_a"), ("2", "src_b"), ("3", "src_gone"), ("4", "src_a")):
+        text = "something else" if k == "4" else page.get(sid, "")
+        rows.append(article(i="art_" + k, mode="archive", slug="same", sourceIds=[sid]) | {"body": article()["body"] | {"textHash": "sha256:" + sha256(text.encode()).hexdigest()}})
+    frames(spark, rows + rows[:1], [source()])[0].write.parquet(f"{tmp_path}/articles.parquet")
+    spark.createDataFrame(list(page.items()), "sourceId string, sourceText string").write.parquet(f"{tmp_path}/web_articles.parquet")
+    got = sorted((r.article_id, r.slug, r.status, r.reason, r.characters) for r in plans.fidelity_articles(spark, str(tmp_path)).collect())
+    assert got == [("art_1", "same", "pass", None, 5), ("art_2", "same", "pass", None, 7), ("art_3", "same", "fail", "missing page", None), ("art_4", "same", "fail", "text hash mismatch", None)]
+
+
 def test_stored_text(spark):
     from hashlib import sha256
 
