@@ -1,9 +1,11 @@
 """Template residue, filler, error pages and script notices in extracted text.
 
-Units (lines of Markdown, sentences of flat text, code left out) that may hold residue are reduced to their template:
-what varies (names, numbers, placeholders) becomes a slot. Units of the same template are aligned over the corpus; a
-unit is residue where a slot still holds a variable's name, a default or a blank. Whole pages are reduced alike, and a
-short page is residue where its template is one of error messages and notices or is repeated over many records.
+Units (lines of Markdown, sentences of flat text, code left out) are reduced to their frame: the ordinary words in
+their order, what stands between them (names, numbers, placeholders) being left out. Units of the same frame are aligned
+over the corpus by its hash; a place at which many records have differing fillings is a slot, and a unit is residue
+where such a slot holds a variable's name, a default or a blank. Units with known placeholders, defaults, filler and
+messages are residue without that. Whole pages are reduced alike, and a short page is residue where its template is one
+of error messages and notices or is repeated over many records.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from paperweir.session import materialise
 
 #: A whole page is short up to so many words; its template counts as repeated from so many records on.
 SHORT_WORDS, REPEATED = 60, 8
+#: Ordinary words that a frame has at least, and the most; share of a frame's units up to which a slot left blank is residue.
+FRAME_WORDS, LONGEST_FRAME, BLANK_SHARE = 3, 80, 0.2
 
 # Shapes of placeholders in template languages and in drafts.
 PLACEHOLDERS = [
@@ -75,6 +79,13 @@ ERROR = re.compile(
 # Words that make a message of a short page whatever its template says first.
 MESSAGE = re.compile(r"(?i)not found|could not be completed|try again (?:later|in a)|permission|blocked by the owner|incident id|reference #|at this location|moved or never existed|front page|were looking for|keyerror|on line \d|undefined function|connection refused|contact the administrator|error id|upgrading our servers|being updated|log in again|quota for this key|retry after|this process is automatic|cookies must be|complete the puzzle")
 
+# Shapes of variables' names and values of empty variables, looked for in slots alone.
+VARIABLE = re.compile(
+    r"%\(\w+\)[a-z]\b|(?<![\w%])%(?:\d+\$)?[sd]\b|(?<!\w)%[A-Za-z_]\w*%|\{+[^{}\n]{0,60}\}+|(?<!\w)\$[a-z_]\w+|<[A-Z][A-Z_ ]+>|<[a-z]+_[a-z_]+>|(?<!\w)#[A-Za-z_]\w*#"
+    r"|\[[a-z]+_[a-z_]+\]|(?<![\w/.\-])[a-z]+(?:_[a-z0-9]+)+(?![\w/.\-])"
+)
+EMPTY = frozenset("undefined null NaN nan nil None N/A n/a TBD TBA TODO TK TKTK FIXME XX XXX XXXX".split())
+
 _FENCE = re.compile(r"^(```|~~~).*?^\1[^\n]*$|^(```|~~~).*\Z", re.S | re.M)
 _INLINE = re.compile(r"`[^`\n]+`")
 _PRE = re.compile(r"<(pre|code)\b[^>]*>(.*?)</\1\s*>", re.S | re.I)
@@ -151,6 +162,58 @@ def template(unit: str) -> str:
     return " ".join(_NAMES.sub("▯", PLACEHOLDER.sub("▯", unit)).split()).lower()
 
 
+_EDGES = ".,;:!?…\"“”„«»‘’()'*_–—-¶|#>"
+_SHAPED = re.compile(r"[{}%$<_#\[]")
+_VARIABLE_MARK = "\ue000"
+#: What fills a slot.
+FILLED, NAMED, DEFAULT = 0, 1, 2
+
+
+def frames(unit: str) -> list[tuple[str, list[tuple[int, int, str]]]]:
+    """(frame, its fillings (place, what fills, text)) of the unit, the place being the number of frame words before.
+
+    The first word may belong to the frame or be a filling; where both may be, both are given.
+    """
+    if _SHAPED.search(unit):
+        unit = VARIABLE.sub(f" {_VARIABLE_MARK} ", unit)
+    words: list[str] = []
+    fills: dict[int, tuple[int, str]] = {}
+    first = ""
+    lower_first = False
+    for k, token in enumerate(unit.split()):
+        core = token if token.isalpha() else token.strip(_EDGES)
+        if not core:
+            continue
+        plain = core if core.isalpha() else core.replace("’", "").replace("'", "").replace("-", "")
+        if plain.isalpha() and core not in EMPTY:
+            if plain.islower() or not words and not fills and not first and plain[1:].islower():
+                if plain.islower():
+                    lower_first = lower_first or not words and not fills and not first
+                    words.append(core)
+                else:
+                    first = core
+                continue
+        kind = NAMED if core == _VARIABLE_MARK else DEFAULT if core in EMPTY and (k or core != "None") else FILLED
+        if kind == FILLED and not any(c.isalnum() for c in core):
+            continue
+        place = len(words)
+        had = fills.get(place)
+        fills[place] = (max(kind, had[0]), f"{had[1]} {core}") if had else (kind, core)
+        if len(words) > LONGEST_FRAME:
+            return []
+    if len(words) < FRAME_WORDS or len(words) > LONGEST_FRAME:
+        return []
+    frame = " ".join(words)
+    if not first:
+        out = [(frame, [(p, k, t) for p, (k, t) in fills.items()])]
+        # a unit that begins with a filling is also aligned with those that begin with a name
+        return out if lower_first or 0 not in fills else [*out, (f"▯ {frame}", out[0][1])]
+    with_first = (f"{first.lower()} {frame}", [(p + 1, k, t) for p, (k, t) in fills.items()])
+    k, t = fills.get(0, (FILLED, ""))
+    as_filling = (f"▯ {frame}", [(0, k, f"{first} {t}"), *((p, k, t) for p, (k, t) in fills.items() if p)])
+    return [with_first, as_filling]
+
+
 def page_kind(text: str) -> str | None:
     """What a whole short page is, None where it is not short or not known as a message."""
     words = text.split()
@@ -177,42 +240,48 @@ def units_of(text: str | None, markdown: bool, code: list[str]) -> list[str]:
     return [s for s in _SENTENCE.split(flat) if s]
 
 
-def judge(text: str | None, markdown: bool, code: list[str]) -> tuple[list[tuple[str, str]], str | None]:
-    """((kind, template) of each residual unit, template of the page where it is short)."""
+def judge(text: str | None, markdown: bool, code: list[str]) -> tuple[list[tuple[str, str]], str | None, list[str]]:
+    """((kind, template) of each residual unit, template of the page where it is short, the other units)."""
     units = units_of(text, markdown, code)
-    found = [(k, template(u)) for u in units if (k := unit_kind(u))]
+    kinds = [(u, unit_kind(u)) for u in units]
+    found = [(k, template(u)) for u, k in kinds if k]
     whole = " ".join(units)
     if not found and not markdown and (k := flat_kind(whole)):
         found = [(k, k)]
     if not found and (k := page_kind(whole)):
         found = [(k, template(whole))]
     short = template(whole) if 0 < len(whole.split()) <= SHORT_WORDS else None
-    return found, short
+    return found, short, [u for u, k in kinds if not k]
 
 
-_JUDGED = "id string, field_name string, units array<struct<kind:string,template:string>>, page string"
+_JUDGED = "id string, field_name string, units array<struct<kind:string,template:string>>, page string, frames array<struct<key:long,frame:string,fills:array<struct<place:int,kind:int,filling:long>>>>"
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import xxhash
+
     kind = pa.list_(pa.struct([("kind", pa.string()), ("template", pa.string())]))
+    fill = pa.list_(pa.struct([("place", pa.int32()), ("kind", pa.int32()), ("filling", pa.int64())]))
+    framed = pa.list_(pa.struct([("key", pa.int64()), ("frame", pa.string()), ("fills", fill)]))
+    digest = lambda x: xxhash.xxh3_64_intdigest(x) - (1 << 63)
     for batch in batches:
-        ids, fields, units, pages = [], [], [], []
+        ids, fields, units, pages, aligned = [], [], [], [], []
         for i, flat, body, cleaned in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "body", "html")), strict=True):
             code = code_texts(cleaned)
             for field, text in (("sourceText", flat), ("body", body)):
                 if not text or not text.strip():
                     continue
-                found, short = judge(text, field == "body", code)
-                if found or short:
-                    ids.append(i)
-                    fields.append(field)
-                    units.append([{"kind": k, "template": t} for k, t in found])
-                    pages.append(short)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(fields, pa.string()), pa.array(units, kind), pa.array(pages, pa.string())], names=["id", "field_name", "units", "page"])
+                found, short, others = judge(text, field == "body", code)
+                ids.append(i)
+                fields.append(field)
+                units.append([{"kind": k, "template": t} for k, t in found])
+                pages.append(short)
+                aligned.append([{"key": digest(f), "frame": f, "fills": [{"place": p, "kind": k, "filling": digest(t)} for p, k, t in fills]} for u in others for f, fills in frames(u)])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(fields, pa.string()), pa.array(units, kind), pa.array(pages, pa.string()), pa.array(aligned, framed)], names=["id", "field_name", "units", "page", "frames"])
 
 
 class Residue:
-    """judged: the records that hold residue or are short, with the templates found."""
+    """judged: the records with the templates found in them and the frames of their other units."""
 
     def __init__(self, records: DataFrame):
         """records(id, text, body, html): flat text, Markdown and the HTML of one page. Null and blank values are no cases."""
@@ -222,13 +291,33 @@ class Residue:
         """(page, n) of the whole-page templates that many records share."""
         return self.judged.where("page is not null").groupBy("page").agg(F.count_distinct("id").alias("n")).where(F.col("n") >= REPEATED)
 
+    def slots(self) -> DataFrame:
+        """(key, place, n_filled): the places of frames that differing fillings of many records stand at; copies count once."""
+        fills = self.judged.select("id", F.inline("frames")).select(F.xxhash64("id").alias("record"), "key", F.inline("fills")).where(F.col("kind") == FILLED)
+        each = fills.groupBy("key", "place", "filling").agg(F.count("*").alias("n"), F.min("record").alias("record"))
+        counted = each.groupBy("key", "place").agg(F.count("*").alias("fillings"), F.count_distinct("record").alias("records"), F.sum("n").alias("n_filled"))
+        return counted.where((F.col("fillings") >= REPEATED) & (F.col("records") >= REPEATED)).select("key", "place", "n_filled")
+
+    def unfilled(self) -> DataFrame:
+        """(id, field_name, kind, template) of units with a slot that holds a variable's name, a default or a blank."""
+        units = self.judged.select("id", "field_name", F.inline("frames"))
+        here = F.try_element_at(F.filter("fills", lambda f: f["place"] == F.col("place")), F.lit(1))["kind"]
+        placed = units.join(self.slots(), "key").select("id", "field_name", "key", "place", "frame", "n_filled", here.alias("held"))
+        open_ = materialise(placed.where(F.col("held").isNull() | (F.col("held") != FILLED)), "open")
+        blanks = open_.where("held is null").groupBy("key", "place", "n_filled").agg(F.count("*").alias("n"))
+        rare = blanks.where(F.col("n") <= BLANK_SHARE * (F.col("n") + F.col("n_filled"))).select("key", "place")
+        kind = F.when(F.col("held") == NAMED, "placeholder").otherwise("default")
+        named = open_.where("held is not null").select("id", "field_name", kind.alias("kind"), F.col("frame").alias("template"))
+        blank = open_.where("held is null").join(rare, ["key", "place"], "left_semi").select("id", "field_name", F.lit("blank").alias("kind"), F.col("frame").alias("template"))
+        return named.unionByName(blank)
+
     def found(self) -> DataFrame:
         """(id, field_name) of every value that is residue or holds some."""
         some = self.judged.where(F.size("units") > 0).select("id", "field_name")
         pages = self.judged.where((F.size("units") == 0) & F.col("page").isNotNull()).join(self.repeated_pages(), "page", "left_semi").select("id", "field_name")
-        return some.unionByName(pages).distinct()
+        return some.unionByName(pages).unionByName(self.unfilled().select("id", "field_name")).distinct()
 
     def templates(self) -> DataFrame:
         """(kind, template, n_records): the aligned templates whose slots or texts are residue."""
-        units = self.judged.select("id", F.inline("units"))
+        units = self.judged.select("id", F.inline("units")).unionByName(self.unfilled().select("id", "kind", "template"))
         return units.groupBy("kind", "template").agg(F.count_distinct("id").alias("n_records"))

@@ -118,6 +118,19 @@ def test_residue(spark):
     assert {x.template for x in r.templates().collect()} >= {"▯"}
 
 
+@pytest.mark.parametrize("bad", ["Dear , this part of the letter is for you.", "Dear {0}, this part of the letter is for you.", "Dear %(name)s, this part of the letter is for you.", "Dear nil, this part of the letter is for you."])
+def test_slots_are_induced_from_recurring_units(spark, bad):
+    people = ["Anna", "Bo", "Cyril", "Dora", "Emil", "Fay", "Gus", "Hana", "Ivo", "Jan"]
+    filler = " ".join(f"word{k}" for k in range(70)) + ". "
+    rows = [(f"p{k}", filler + f"Dear {p}, this part of the letter is for you.", None, None) for k, p in enumerate(people)]
+    # one text copied is no slot, and what stands under no recurring frame is ordinary
+    rows += [(f"c{k}", filler + "Dear Kim, that copy of the letter is old.", None, None) for k in range(10)] + [("c", filler + "Dear , that copy of the letter is old.", None, None)]
+    rows += [("alone", filler + "Dear {0}, such words were read nowhere else.", None, None), ("bad", filler + bad, None, None)]
+    got = {x.id for x in residue.Residue(spark.createDataFrame(rows, "id string, text string, body string, html string")).found().collect()}
+    assert "bad" in got
+    assert not got - {"bad", "alone"}
+
+
 def test_site_lines(spark):
     rows = [(f"d{i}", "s", f"Story {'abcdefgh'[i]} of the gate\nSUBSCRIBE  to the letter {i}\nshort\n\r\nOnly here {'abcdefgh'[i]} today", "2024") for i in range(8)]
     rows += [("copy", "s", rows[0][2], None), ("other", "t", "Subscribe to the letter 1", None), ("null", "s", None, None), ("none", None, "Subscribe to the letter 1", None), ("empty", "s", "", None)]
