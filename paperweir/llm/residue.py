@@ -5,7 +5,7 @@ their order, what stands between them (names, numbers, placeholders) being left
 over the corpus by its hash; a place at which many records have differing fillings is a slot, and a unit is residue
 where such a slot holds a variable's name, a default or a blank. Units with known placeholders, defaults, filler and
 messages are residue without that. Whole pages are reduced alike, and a short page is residue where its template is one
-of error messages and notices or is repeated over many records.
+of error messages and notices or is repeated over many differing texts.
 """
 
 from __future__ import annotations
@@ -20,10 +20,12 @@ from pyspark.sql import functions as F
 
 from paperweir.session import materialise
 
-#: A whole page is short up to so many words; its template counts as repeated from so many records on.
+#: A whole page is short up to so many words; its template counts as repeated from so many differing texts on.
 SHORT_WORDS, REPEATED = 60, 8
 #: Ordinary words that a frame has at least, and the most; share of a frame's units up to which a slot left blank is residue.
 FRAME_WORDS, LONGEST_FRAME, BLANK_SHARE = 3, 80, 0.2
+#: Letters outside the slots that the template of a repeated page has at least.
+FIXED_LETTERS = 6
 
 # Shapes of placeholders in template languages and in drafts.
 PLACEHOLDERS = [
@@ -254,7 +256,7 @@ def judge(text: str | None, markdown: bool, code: list[str]) -> tuple[list[tuple
     return found, short, [u for u, k in kinds if not k]
 
 
-_JUDGED = "id string, field_name string, units array<struct<kind:string,template:string>>, page string, frames array<struct<key:long,frame:string,fills:array<struct<place:int,kind:int,filling:long>>>>"
+_JUDGED = "id string, field_name string, units array<struct<kind:string,template:string>>, page string, text long, frames array<struct<key:long,frame:string,fills:array<struct<place:int,kind:int,filling:long>>>>"
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +267,7 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     framed = pa.list_(pa.struct([("key", pa.int64()), ("frame", pa.string()), ("fills", fill)]))
     digest = lambda x: xxhash.xxh3_64_intdigest(x) - (1 << 63)
     for batch in batches:
-        ids, fields, units, pages, aligned = [], [], [], [], []
+        ids, fields, units, pages, texts, aligned = [], [], [], [], [], []
         for i, flat, body, cleaned in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "body", "html")), strict=True):
             code = code_texts(cleaned)
             for field, text in (("sourceText", flat), ("body", body)):
@@ -276,8 +278,9 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 fields.append(field)
                 units.append([{"kind": k, "template": t} for k, t in found])
                 pages.append(short)
+                texts.append(digest(" ".join(text.split())) if short else None)
                 aligned.append([{"key": digest(f), "frame": f, "fills": [{"place": p, "kind": k, "filling": digest(t)} for p, k, t in fills]} for u in others for f, fills in frames(u)])
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(fields, pa.string()), pa.array(units, kind), pa.array(pages, pa.string()), pa.array(aligned, framed)], names=["id", "field_name", "units", "page", "frames"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(fields, pa.string()), pa.array(units, kind), pa.array(pages, pa.string()), pa.array(texts, pa.int64()), pa.array(aligned, framed)], names=["id", "field_name", "units", "page", "text", "frames"])
 
 
 class Residue:
@@ -288,8 +291,10 @@ class Residue:
         self.judged = materialise(records.select("id", "text", "body", "html").mapInArrow(_judge, _JUDGED), "judged")
 
     def repeated_pages(self) -> DataFrame:
-        """(page, n) of the whole-page templates that many records share."""
-        return self.judged.where("page is not null").groupBy("page").agg(F.count_distinct("id").alias("n")).where(F.col("n") >= REPEATED)
+        """(page, n) of the whole-page templates with fixed words that many differing texts of one field have; copies count once."""
+        fixed = F.length(F.regexp_replace("page", r"\P{L}", "")) >= FIXED_LETTERS
+        counted = self.judged.where(F.col("page").isNotNull() & fixed).groupBy("page", "field_name").agg(F.count_distinct("text").alias("n"))
+        return counted.groupBy("page").agg(F.max("n").alias("n")).where(F.col("n") >= REPEATED)
 
     def slots(self) -> DataFrame:
         """(key, place, n_filled): the places of frames that differing fillings of many records stand at; copies count once."""

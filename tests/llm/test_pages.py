@@ -131,6 +131,15 @@ def test_slots_are_induced_from_recurring_units(spark, bad):
     assert not got - {"bad", "alone"}
 
 
+def test_copies_of_a_short_text_are_no_repeated_page(spark):
+    n = residue.REPEATED
+    rows = [(f"copy{k}", "The ferry ran again from the old pier.", "The ferry ran *again* from the old pier.", None) for k in range(n)]
+    rows += [(f"name{k}", f"{w} Kovarik", None, None) for k, w in enumerate(["Annabel", "Bertram", "Cyprian", "Dorothea", "Emilian", "Felicia", "Gustava", "Hannelore"])]
+    rows += [(f"rep{k}", f"Out to lunch, back at {k} sharp", None, None) for k in range(n)]
+    got = {x.id for x in residue.Residue(spark.createDataFrame(rows, "id string, text string, body string, html string")).found().collect()}
+    assert got == {f"rep{k}" for k in range(n)}
+
+
 def test_site_lines(spark):
     rows = [(f"d{i}", "s", f"Story {'abcdefgh'[i]} of the gate\nSUBSCRIBE  to the letter {i}\nshort\n\r\nOnly here {'abcdefgh'[i]} today", "2024") for i in range(8)]
     rows += [("copy", "s", rows[0][2], None), ("other", "t", "Subscribe to the letter 1", None), ("null", "s", None, None), ("none", None, "Subscribe to the letter 1", None), ("empty", "s", "", None)]
