@@ -3,7 +3,7 @@
 A page is read once into blocks, each with the path of the elements that contain it. Text length and punctuation are
 summed by path, smoothed with the neighbouring paths, fused into one score, and the paths above a threshold are
 content. Standing lines of a site, which no path tells from the article, are found by counting each line over the
-site's pages (pre-aggregated, hashes only) and taken out, with what hangs on them: lists under a standing heading,
+site's pages, copies of one article once (pre-aggregated, hashes only) and taken out, with what hangs on them: lists under a standing heading,
 bylines, teasers. The views of one page (raw and extracts) are judged together: a block of an extract that the raw
 page holds is main where it is main there.
 """
@@ -190,7 +190,9 @@ def _beside(k: int, top: int, containers: list[tuple[str, int, bool]]) -> bool:
 
 
 _BLOCK = pa.struct([("n", pa.int32()), ("h", pa.int64()), ("tag", pa.int8()), ("state", pa.int8())])
-_PAGE = "id string, site string, view string, blocks array<struct<n:int,h:long,tag:tinyint,state:tinyint>>, message boolean"
+_PAGE = "id string, site string, view string, blocks array<struct<n:int,h:long,tag:tinyint,state:tinyint>>, message boolean, text long"
+#: Letters from which a main block tells one article from another; shorter ones do so only on pages without longer ones.
+LONG_BLOCK = 90
 #: state of a block: 0 outside the content, 1 main so far, 2 taken out by what it says (byline, teaser, link), 3 empty.
 _TAG_NUMBER = {t: i for i, t in enumerate(sorted(BLOCKS))}
 _P, _LI = _TAG_NUMBER["p"], _TAG_NUMBER["li"]
@@ -202,7 +204,7 @@ def _read(views: list[str]):
         import xxhash
 
         for batch in batches:
-            ids, sites, names, rows, messages = [], [], [], [], []
+            ids, sites, names, rows, messages, texts = [], [], [], [], [], []
             columns = [batch.column(v).to_pylist() for v in views]
             for k, (i, site) in enumerate(zip(batch.column("id").to_pylist(), batch.column("site").to_pylist(), strict=True)):
                 for v, column in zip(views, columns, strict=True):
@@ -213,7 +215,7 @@ def _read(views: list[str]):
                     if not blocks:
                         continue
                     select_content(blocks, containers)
-                    out, near_top, body = [], 0, []
+                    out, near_top, body, long = [], 0, [], []
                     for n, b in enumerate(blocks, 1):
                         text = b.own
                         state = 1 if b.main else 0
@@ -227,13 +229,17 @@ def _read(views: list[str]):
                             else:
                                 body.append(text)
                         key = line_key(text) if text else ""
+                        if state == 1 and len(text) >= LONG_BLOCK:
+                            long.append(key)
                         out.append({"n": n, "h": xxhash.xxh3_64_intdigest(key) - (1 << 63), "tag": _TAG_NUMBER[b.tag], "state": state})
                     ids.append(i)
                     sites.append(site)
                     names.append(v)
                     rows.append(out)
                     messages.append(is_message(body))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(sites, pa.string()), pa.array(names, pa.string()), pa.array(rows, pa.list_(_BLOCK)), pa.array(messages, pa.bool_())], names=["id", "site", "view", "blocks", "message"])
+                    # what tells copies of one article; a page without main text is its own
+                    texts.append(xxhash.xxh3_64_intdigest("\n".join(long or [line_key(t) for t in body] or [f"\0{i}"])) - (1 << 63))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(sites, pa.string()), pa.array(names, pa.string()), pa.array(rows, pa.list_(_BLOCK)), pa.array(messages, pa.bool_()), pa.array(texts, pa.int64())], names=["id", "site", "view", "blocks", "message", "text"])
 
     return run
 
@@ -302,14 +308,18 @@ def main_blocks(pages: DataFrame, views: list[str]) -> DataFrame:
     null site counts as a site of its own. Repeated ids are judged together.
     """
     read = materialise(pages.select(F.col("id").cast("string").alias("id"), F.coalesce(F.col("site"), F.lit("")).alias("site"), *views).mapInArrow(_read(views), _PAGE), "blocks")
-    lines = read.select("site", "id", "view", F.inline("blocks")).where("state <> 3")
+    lines = read.select("site", "id", "view", "text", F.inline("blocks")).where("state <> 3")
     # each line once a page: the first view that has blocks stands for the page
     page = read.groupBy("id").agg(F.min_by("view", F.array_position(F.array(*[F.lit(v) for v in views]), F.col("view"))).alias("view"))
-    one = lines.join(page, ["id", "view"], "left_semi").groupBy("site", "id", "h").agg(F.max((F.col("tag") == _P).cast("int")).alias("p"))
+    # and once an article: pages of the same main text are one, so that copies don't make its paragraphs standing lines
+    one = materialise(lines.join(page, ["id", "view"], "left_semi").groupBy("site", "text", "h").agg(F.max((F.col("tag") == _P).cast("int")).alias("p")), "once")
     counted = materialise(one.groupBy("site", "h").agg(F.count("*").alias("n"), F.sum("p").alias("np")).where("n > 1"), "lines")
-    totals = read.groupBy("site").agg(F.count_distinct("id").alias("pages"))
-    every = read.select("id").distinct().count()
-    wide = counted.groupBy("h").agg(F.sum("np").alias("np_all")).where(F.col("np_all") >= max(LEAST_PAGES, SHARE_ALL * every)).select("h", F.lit(True).alias("wide"))
+    articles = read.join(page, ["id", "view"], "left_semi").select("site", "text").distinct()
+    totals = articles.groupBy("site").agg(F.count("*").alias("pages"))
+    every = articles.select("text").distinct().count()
+    least = max(LEAST_PAGES, SHARE_ALL * every)
+    often = one.where("p = 1").groupBy("h").agg(F.count("*").alias("k")).where(F.col("k") >= least).select("h")
+    wide = one.where("p = 1").join(often, "h").groupBy("h").agg(F.count_distinct("text").alias("np_all")).where(F.col("np_all") >= least).select("h", F.lit(True).alias("wide"))
     shares = counted.join(totals, "site").join(wide, "h", "left")
     anywhere = (F.col("n") >= F.lit(4)) & (F.col("n") >= SHARE_ANY * F.col("pages"))
     low = ((F.col("np") >= LEAST_PAGES) & (F.col("np") >= SHARE_PARAGRAPH * F.col("pages"))) | F.col("wide")

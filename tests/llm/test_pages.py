@@ -26,6 +26,18 @@ def test_main_blocks(spark):
     assert all(v == {3, 5, 6, 7, 8, 9} for v in got.values())
 
 
+def test_copies_of_an_article_are_no_standing_lines(spark):
+    text = "was mended twice a week, as the drivers of the upper valley had asked in vain for years, and the council paid, in the end."
+    page = "<body><div id=top><p>We use cookies to count visits.</p></div><div id=content><h1>{0} opens</h1><p>{0} {1}</p><p>In {0}, the lamp {1}</p><p>Thank you for reading.</p></div></body>"
+    rows = [(f"p{c}", "s", page.format(f"Gate {c} of Hofmus", text)) for c in "abcdefghijkl"] + [(f"copy{k}", "s" if k % 2 else f"s{k}", page.format("The old pier", text)) for k in range(16)]
+    got = {}
+    for r in mainbody.main_blocks(spark.createDataFrame(rows, "id string, site string, raw string"), ["raw"]).collect():
+        got.setdefault(r.id, set()).add(r.block_no)
+    assert set(got) == {r[0] for r in rows}
+    assert {2, 3, 4} <= set.intersection(*got.values())
+    assert all(5 not in v for i, v in got.items() if i[0] == "p")
+
+
 def test_blocks_of_malformed_pages():
     blocks, _ = mainbody.read_blocks("<p>a<p>b<ul><li>c<li>d</ul><blockquote><p>e</blockquote><pre>f</pre><h2>g<p class='x>y'>h <!-- <p> --> <script><p></script>")
     assert [b.tag for b in blocks] == ["p", "p", "li", "li", "blockquote", "p", "pre", "h2", "p"]
