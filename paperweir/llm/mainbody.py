@@ -247,7 +247,7 @@ def _read(views: list[str]):
 def is_message(body: list[str]) -> bool:
     """Whether what a page holds in place of an article is a message, a notice or filler: most of its text is."""
     bad = whole = 0
-    for t in body[:40]:
+    for t in body:
         units = [u for u in residue._SENTENCE.split(t) if u]
         for u in units:
             whole += len(u)
@@ -255,7 +255,7 @@ def is_message(body: list[str]) -> bool:
                 bad += len(u)
     if not whole:
         return False
-    text = " ".join(body[:40])
+    text = " ".join(body)
     return bad >= 0.5 * whole or (len(text.split()) <= residue.SHORT_WORDS and bool(residue.page_kind(text) or any(residue.page_kind(t) for t in body)))
 
 

@@ -38,6 +38,12 @@ def test_copies_of_an_article_are_no_standing_lines(spark):
     assert all(5 not in v for i, v in got.items() if i[0] == "p")
 
 
+def test_long_pages_of_brief_items_are_no_message():
+    long = "The bridge was mended twice a week, as the drivers had asked in vain for years, and the council paid in the end. " * 4
+    assert not mainbody.is_message(["Gate"] * 40 + [long, "The ferry ran with the permission of the owner."])
+    assert mainbody.is_message(["Access denied", "You do not have permission to see this."])
+
+
 def test_blocks_of_malformed_pages():
     blocks, _ = mainbody.read_blocks("<p>a<p>b<ul><li>c<li>d</ul><blockquote><p>e</blockquote><pre>f</pre><h2>g<p class='x>y'>h <!-- <p> --> <script><p></script>")
     assert [b.tag for b in blocks] == ["p", "p", "li", "li", "blockquote", "p", "pre", "h2", "p"]
