@@ -2,8 +2,9 @@
 
 Spellings are parsed to tokens; spellings with equal tokens are one key from the start. Distinct tokens are joined
 with each other on q-grams, by prefix filtering in order of rarity, and checked by edit distance. Names become
-candidates when one of their weighty tokens agrees: in descending weight, the tokens after which the rest could not
-reach the similarity sought need not be looked up. Candidates are verified by soft token similarity weighted by
+candidates when a rare token or their weightiest one agrees; persons also when a common token agrees together with the
+first letter of another token or of its full name. Common tokens of bodies that are not the weightiest are not looked
+up. Candidates are verified by soft token similarity weighted by
 rarity, and verified links are closed to components. Names whose given name is an initial join a component only where
 the initial tells which.
 """
@@ -251,10 +252,18 @@ def link_names(spellings: DataFrame) -> DataFrame:
     after = F.aggregate(F.slice("weights", F.col("i") + 1, F.size("weights")), F.lit(0.0), lambda a, w: a + w)
     looked = whole.select("key", "body", "weights", F.posexplode("tokens").alias("i", "token"), total.alias("total"))
     looked = looked.where(_written(F.col("token")) & (((F.col("i") == 0) & (after >= NAME_SIMILARITY * F.col("total"))) | (F.element_at("weights", F.col("i") + 1) >= common)))
+    # persons' common tokens are also looked up together with the first letter of another token, or of its full name
+    first = lambda t: F.substring(F.regexp_replace(t, "^~", ""), 1, 1)
+    pairs = whole.where(~F.col("body")).select("key", "body", F.posexplode(F.arrays_zip("tokens", "weights")).alias("i", "t"), F.col("tokens").alias("others"))
+    pairs = pairs.where(_written(F.col("t.tokens")) & (F.col("t.weights") < common)).select("key", "body", F.col("t.tokens").alias("hot"), F.explode("others").alias("other")).where("hot <> other")
+    letters = pairs.select("key", "body", "hot", F.explode(F.array(first(F.col("other")), first(F.coalesce(full[F.col("other")], "other")))).alias("letter"))
+    hot = letters.select("key", "body", F.concat_ws("|", "hot", "letter").alias("token")).distinct()
+    hot = materialise(hot, "hot")
     looked = materialise(looked.select("key", "body", "token"), "lookups")
     left = looked.join(alike, "token").select(F.col("key").alias("key_a"), "body", F.col("alike").alias("token"))
     right = looked.select(F.col("key").alias("key_b"), "body", "token")
-    candidates = left.join(right, ["body", "token"]).where("key_a < key_b").select("key_a", "key_b", "body").distinct()
+    together = hot.select(F.col("key").alias("key_a"), "body", "token").join(hot.select(F.col("key").alias("key_b"), "body", "token"), ["body", "token"])
+    candidates = left.join(right, ["body", "token"]).unionByName(together).where("key_a < key_b").select("key_a", "key_b", "body").distinct()
     a = whole.select(F.col("key").alias("key_a"), "body", *[F.col(c).alias(f"{c}_a") for c in ("tokens", "weights", "rarity")])
     b = whole.select(F.col("key").alias("key_b"), "body", *[F.col(c).alias(f"{c}_b") for c in ("tokens", "weights", "rarity")])
     verified = candidates.join(a, ["key_a", "body"]).join(b, ["key_b", "body"]).mapInPandas(_verify(common), "key_a string, key_b string, similarity double")

@@ -36,6 +36,12 @@ def test_pairs_are_ordered_and_complete(spark):
     assert sorted(map(tuple, names.pairs_of_spellings(df).collect())) == [("a", "b"), ("a", "c"), ("b", "c")]
 
 
+def test_a_common_surname_is_looked_up_with_an_initial(spark):
+    given = ["".join(c) for c in itertools.islice(itertools.product("bdfgk", "aeiou", "lmnp", "u", "vzst"), 0, 400, 8)]
+    got = link(spark, [f"{g.title()} Smith" for g in given] + ["Xenia Smith", "X. Smith", "Robert Smith", "Bob Smith"])
+    assert got["X. Smith"] == got["Xenia Smith"] != got["Robert Smith"] == got["Bob Smith"]
+
+
 def test_empty(spark):
     assert link(spark, []) == {}
 
