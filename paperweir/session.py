@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import shutil
 import tempfile
 import uuid
 import zipfile
@@ -44,20 +43,32 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Bytes a core below which an input is spread anew: a file of one row group is one task, whatever the splits.
-SPREAD_BELOW = 4 << 20
+def row_groups(df: DataFrame, enough: int) -> int:
+    """Row groups of the Parquet files that df scans, counted up to enough; only footers are read, of few files."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    files = df._jdf.inputFiles()
+    if len(files) >= enough:
+        return len(files)
+    n = 0
+    for f in files:
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f))
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(path, conf))
+        try:
+            n += reader.getRowGroups().size()
+        finally:
+            reader.close()
+    return n
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores where it is small, as it is where it is large.
+    """df over all cores where its files cannot occupy them.
 
-    A small table is often one file of one row group, which one task reads; parsing it there would leave all other
-    cores idle. The size is the optimizer's estimate of the scan, so nothing runs for it, and an input beyond the
-    bound is never shuffled.
+    A row group is read by one task, however many splits a file has. A scan of Parquet files with fewer row groups
+    than the session has cores is therefore spread before rows are parsed in Python; any other scan is left as it is,
+    whatever its size, so a table written in row groups of usual size is never shuffled for that.
     """
     n = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(n) if size < n * SPREAD_BELOW else df
+    return df.repartition(n) if 0 < row_groups(df, n) < n else df
 
 
 def ship(spark: SparkSession) -> None:
@@ -83,6 +94,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def drop_working_tables(spark: SparkSession) -> None:
-    """Remove what materialise() wrote to a local shared folder."""
-    base = shared_dir(spark).removeprefix("file://")
-    shutil.rmtree(f"{base}/paperweir", ignore_errors=True)
+    """Remove what materialise() wrote to the shared folder, on any file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/paperweir")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
