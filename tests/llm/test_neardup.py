@@ -1,7 +1,6 @@
 import random
 import re
 
-import numpy as np
 import pytest
 
 from paperweir.llm import graph, neardup
@@ -46,14 +45,34 @@ def test_empty(spark):
     assert f.pairs().count() == 0
 
 
-def test_crowded_regions_lose_no_near_copy(monkeypatch):
-    """A region larger than the bound is cut deeper; rows that share all hashes are still compared with each other."""
-    monkeypatch.setattr(neardup, "REGION", 4)
-    label = np.zeros((9, 2 * (neardup.DEPTH + 1)), np.uint8)
-    label[6:, 2 * 6] = 1  # three rows part from the others at the sixth hash
-    sketch = np.zeros((9, 4), np.uint64)
-    pairs = {(int(x), int(y)) for a, b in neardup._near_in_order(label, sketch, 5, 0) for x, y in zip(a, b, strict=True)}
-    assert {(i, j) for i in range(6) for j in range(i + 1, 6)} | {(6, 7), (6, 8), (7, 8)} == pairs
+@pytest.mark.parametrize("held", [20, 200_000])
+def test_crowded_regions_lose_no_pair(spark, held):
+    """Regions beyond the bound, at the edges of tasks and longer than what a task holds: all links above the threshold."""
+    rnd = random.Random(5)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
+    template = [rnd.choice(words) for _ in range(90)]
+    rows = []
+    for k in range(60):  # one template, own words enough to stand around the threshold
+        own = [rnd.choice(words) for _ in range(12 + k % 18)]
+        at = rnd.randrange(60)
+        rows.append((f"t{k:02d}", " ".join(template[:at] + own + template[at:])))
+    kind = Shingling("words", 3, 60, 0.6, 3)
+    found = near_duplicates(spark.createDataFrame(rows, "id string, text string").repartition(3), kind, region=3, held_rows=held)
+    got, want = {(r.id_a, r.id_b) for r in found.pairs().collect()}, brute(rows, kind)
+    assert got == want
+    assert 0 < len(want) < 60 * 59 / 2
+
+
+@pytest.mark.parametrize("similarity", [0.6, 0.7, 0.8])
+def test_exact_join_equals_brute_force(spark, similarity):
+    rnd = random.Random(9)
+    sets = {f"{k:02d}": rnd.sample(range(60), rnd.randrange(1, 30)) for k in range(80)} | {f"x{k}": [*range(20), 100 + k, *range(200 + k, 200 + k + k % 8)] for k in range(40)}
+    df = spark.createDataFrame([(k.encode(), v) for k, v in sets.items()], "class binary, shingles array<long>")
+    got = {(bytes(r.class_a).decode(), bytes(r.class_b).decode()) for r in neardup.exact_pairs(df, similarity).collect()}
+    ids = sorted(sets)
+    want = {(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if len(set(sets[a]) & set(sets[b])) >= similarity * len(set(sets[a]) | set(sets[b])) - 1e-12}
+    assert want
+    assert want <= got
 
 
 def test_very_long_text(spark):
