@@ -1,9 +1,11 @@
 """Abusive, hateful or sexual content, graded by cumulative-link ordinal regression on sparse text features.
 
 Labelled documents carry a grade from 0 to 3 (no rater, some, most, all and surely). A document is a bag of sentences
-and as severe as its worst one. Weights are shared across the ordered thresholds; the expected severity, the sum of
-the probabilities of reaching each grade, is the score. Which sentences of a labelled document are meant is found in
-rounds: in each the model chooses the worst sentences of abusive documents, then is fitted again.
+and as severe as its worst one. Features are words, pairs of neighbours and how many words of a lexicon a sentence
+holds; all weights are learned, a lasso penalty keeps them sparse. Weights are shared across the ordered thresholds; the
+expected severity, the sum of the probabilities of reaching each grade, is the score. Which sentences of a labelled
+document are meant is found in rounds: in each the model chooses the worst sentences of abusive documents, then is
+fitted again. From which score on a document is reported is learned on labelled documents held out.
 """
 
 from __future__ import annotations
@@ -19,29 +21,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds of the sample that the model is fitted on (labelled documents, in hash order of their ids) and of its features.
-TRAINING_DOCUMENTS, FEATURES = 8_000, 40_000
-#: Rounds of choosing sentences, steps of descent in each, and the pull of the weights to zero.
-ROUNDS, STEPS, RIDGE = 4, 150, 0.3
+#: Bound of the sample that the model is fitted on: labelled documents, in hash order of their ids.
+TRAINING_DOCUMENTS = 8_000
+#: Rounds of choosing sentences, steps of descent in each, its rate, and the pull of the weights to zero (lasso, ridge).
+ROUNDS, STEPS, RATE, LASSO, RIDGE = 3, 80, 0.1, 1.0, 0.1
+#: Weight of a sentence that is not chosen in a document that is graded: it may be abusive as well.
+BESIDE = 0.05
 GRADES = 3
-#: A document is reported from this probability on that most raters find its worst sentence abusive. Below a half, since
-#: raters overlook more than they make up and mild examples are few.
-REPORTED_FROM = 0.15
+#: Parts of the labelled documents, each scored by a model of the others to learn the cut; abusive ones that it takes for
+#: that; and how near the best balance of precision and recall a cut has to come, of which the middle one is taken.
+FOLDS, LEAST_HELD, NEAR = 2, 16, 0.01
 
 # Words that insult, threaten, demean or are sexually explicit, by language. Evidence, not a verdict:
 # their weight is learned like that of any other feature.
 LEXICON = {
     w
     for w in """
-fuck fucks fucked fucking fucker motherfucker shit shitty bullshit bitch bastard asshole arsehole ass asses dumbass jackass idiot moron
+fuck fucks fucked fucking fucker motherfucker shit shitty bullshit bitch bastard asshole arsehole dumbass jackass idiot moron
 scumbag scum imbecile cretin retard cunt dickhead prick twat wanker slut whore loser vermin subhuman filthy disgusting worthless
 pathetic brainless spineless stupid fool
 porn porno xxx nude nudes naked sex sexy horny blowjob tits boobs pussy cum hardcore uncensored erotic orgasm hooker camgirl
 lynch exterminate
 idiot arschloch wichser drecksau drecksack drecksäcke schlampe hure fresse scheiße fick ficken hurensohn missgeburt wertloser verprügeln
 connard connasse salope putain merde abruti enculé foutre gueule pute crétin imbécile
-mierda cabrón puta gilipollas imbécil idiota pendejo asqueroso coño maricón hijo
-merda idiota babaca caralho puta filho nojento imbecil vagabunda porra
+mierda cabrón puta gilipollas imbécil idiota pendejo asqueroso coño maricón
+merda idiota babaca caralho puta nojento imbecil vagabunda porra
 ублюдок мразь сука блядь тварь идиот тупой заткнись урод шлюха дебил
 kretén hajzl hajzle hubu kurva debil idiot zmrd tupej píča blbec svině
 """.split()
@@ -88,6 +92,7 @@ def _token(word: str) -> str:
 
 _LEXICON = {_token(w) for w in LEXICON}
 _PHRASES = {" ".join(map(_token, p)) for p in PHRASES}
+_PHRASE_STARTS = frozenset(p.split(" ")[0] for p in _PHRASES)
 
 
 def sentences(text: str) -> list[str]:
@@ -126,10 +131,15 @@ def words_of(sentence: str, spaced: bool = True) -> list[str]:
     return [c[w] for w in _TOKEN.findall(s)]
 
 
+def _hits(words: list[str], found: set[str]) -> int:
+    """Words of the lexicon, and one more where a phrase stands."""
+    return sum([w in _LEXICON for w in found]) + any(" ".join(words[i : i + n]) in _PHRASES for i, w in enumerate(words) if w in _PHRASE_STARTS for n in (2, 3))
+
+
 def features_of(words: list[str]) -> set[str]:
-    """Single words and pairs of neighbours, and how many words of the lexicon there are."""
+    """Single words and pairs of neighbours, and whether there are one or more words of the lexicon."""
     found = set(words)
-    hits = sum([w in _LEXICON for w in found]) + any(" ".join(words[i : i + n]) in _PHRASES for n in (2, 3) for i in range(len(words) - n + 1))
+    hits = _hits(words, found)
     found.update([a + " " + b for a, b in zip(words, words[1:], strict=False)])
     if hits:
         found.add("#lexicon")
@@ -144,33 +154,42 @@ def features(sentence: str) -> set[str]:
 
 @dataclass
 class OrdinalModel:
-    """weights by feature and the ordered thresholds of the grades."""
+    """weights by feature, the ordered thresholds of the grades, and the score from which a document is reported."""
 
     weights: dict[str, float]
     thresholds: list[float]
+    cut: float
 
     def __post_init__(self):
-        # a sentence without any of these words has no feature that speaks for abuse: its score is 0 at most
-        first = {f.split(" ")[0] for f, w in self.weights.items() if w > 0 and not f.startswith("#")}
-        self.triggers = frozenset(first | _LEXICON | {p.split(" ")[0] for p in _PHRASES})
+        self.single = {f: w for f, w in self.weights.items() if " " not in f and f[0] != "#"}
+        self.pairs = {f: w for f, w in self.weights.items() if " " in f}
+        self.starts = frozenset(f.split(" ")[0] for f in self.pairs)
+        self.one, self.two = self.weights.get("#lexicon", 0.0), self.weights.get("#lexicon2", 0.0)
+        # a sentence without a feature that speaks for abuse scores 0 at most
+        first = {f.split(" ")[0] for f, w in self.weights.items() if w > 0 and f[0] != "#"}
+        self.triggers = frozenset(first | _LEXICON | _PHRASE_STARTS if max(self.one, self.one + self.two) > 0 else first)
 
     def score(self, sentence: str, spaced: bool = True) -> float:
         words = words_of(sentence, spaced)
         if self.triggers.isdisjoint(words):
             return 0.0
-        w = self.weights
-        return sum([w[f] for f in features_of(words) if f in w])
+        found, single, starts, pairs = set(words), self.single, self.starts, self.pairs
+        total = sum([single[w] for w in found if w in single])
+        if not starts.isdisjoint(found):
+            total += sum([pairs[p] for p in {a + " " + b for a, b in zip(words, words[1:], strict=False) if a in starts} if p in pairs])
+        hits = _hits(words, found)
+        return total + (self.one if hits else 0.0) + (self.two if hits > 1 else 0.0)
 
     def worst(self, text: str | None) -> float:
         """Score of the worst sentence, 0 at least."""
         if not text:
             return 0.0
         spaced = bool(_SPACED.search(text))
-        return max([self.score(s, spaced) for s in sentences(text)], default=0.0)
+        return max([0.0, *[self.score(s, spaced) for s in sentences(text)]])
 
     def severity(self, score: float) -> float:
-        """Expected grade."""
-        return float(sum(1 / (1 + np.exp(np.clip(t - score, -50, 50))) for t in self.thresholds))
+        """Expected grade; 0 where nothing speaks for abuse."""
+        return float(sum(1 / (1 + np.exp(np.clip(t - score, -50, 50))) for t in self.thresholds)) if score > 0 else 0.0
 
 
 class _Rows:
@@ -200,51 +219,37 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
-def fit(texts: list[str], grades: list[int]) -> OrdinalModel:
-    """The model of graded documents. Without any abusive document only the lexicon speaks."""
-    docs = [[features(s) for s in sentences(t)] for t in texts]
-    grade = np.array(grades)
-    if not len(grade) or grade.max(initial=0) < 2:
-        return OrdinalModel({"#lexicon": 3.0, "#lexicon2": 3.0}, [3.5, 4.0, 5.0])
+def _fit(docs: list[list[set[str]]], grade: np.ndarray) -> tuple[dict[str, float], np.ndarray]:
+    """(weights, thresholds) of documents as sets of features by sentence."""
     seen: Counter = Counter()
     bad: Counter = Counter()
-    for doc, g in zip(docs, grades, strict=True):
+    for doc, g in zip(docs, grade, strict=True):
         own = set().union(*doc) if doc else set()
         seen.update(own)
         if g >= 2:
             bad.update(own)
-    share = (grade >= 2).mean()
-    # evidence for: nearly always in abusive documents, and in enough of them that it is no chance. Evidence against:
-    # beside words of the lexicon in documents that no rater finds abusive. All else says nothing and has no weight.
-    strength = {f: np.clip((bad[f] * np.log(1 / share) - 8) / 8, 0.0, 1.5) for f, n in seen.items() if bad[f] >= 3 and bad[f] >= 0.75 * n}
-    beside: Counter = Counter()
-    every: Counter = Counter()
-    for doc, g in zip(docs, grades, strict=True):
-        for sentence in doc:
-            every.update(sentence)
-            if g == 0 and "#lexicon" in sentence:
-                beside.update(sentence)
-    against = {f for f, n in beside.items() if bad[f] <= 0.3 * seen[f] and n >= 0.3 * every[f]}
-    kept = sorted(set(strength) | {"#lexicon", "#lexicon2"}, key=lambda f: (-bad[f], f))[:FEATURES]
-    kept += sorted(against - set(kept), key=lambda f: (-seen[f], f))[: FEATURES - len(kept)]
+    # what stands in one document alone can say nothing of others
+    kept = sorted(f for f, n in seen.items() if n > 1)
     index = {f: k for k, f in enumerate(kept)}
     x = _Rows(docs, index)
-    w = np.array([float(strength.get(f, 0.0)) for f in kept])
-    w[index["#lexicon"]] = w[index["#lexicon2"]] = 1.6
-    speaks_for = np.array([f in strength or f.startswith("#") for f in kept])
-    theta = np.array([1.2, 1.5, 2.5])
-    for _ in range(ROUNDS):
-        score = x.times(w)
+    share = (grade >= 2).mean()
+    n, nb = np.array([seen[f] for f in kept], float), np.array([bad[f] for f in kept], float)
+    # the first choice of sentences: by the log odds of their features, few observations counting little
+    w = np.clip(np.log((nb + 2 * share) / (n - nb + 2 * (1 - share))) - np.log(share / (1 - share)), -3, 3) * n / (n + 2)
+    score = x.times(w) / np.sqrt(np.maximum(np.bincount(x.row, minlength=x.n), 1))
+    theta = np.array([1.0, 1.5, 2.5])
+    own = grade[x.document]
+    for turn in range(ROUNDS):
         top = np.full(len(docs), -1e9)
         np.maximum.at(top, x.document, score)
-        chosen = (grade[x.document] >= 2) & ((score >= np.maximum(top[x.document] - 1e-9, theta[0])) | (score >= theta[1]))
-        chosen |= (grade[x.document] == 1) & (score >= np.maximum(top[x.document] - 1e-9, theta[0]))
-        y = np.where(chosen, grade[x.document], 0)
-        # other sentences of abusive documents may be abusive as well: they count little
-        weight = np.where(chosen, 1.0, np.where(grade[x.document] >= 1, 0.3, 1.0))
-        m, v, mt, vt = np.zeros(x.width), np.zeros(x.width), np.zeros(GRADES), np.zeros(GRADES)
-        w, theta = w * 0.5, theta * 0.5 + 0.5
-        for step in range(1, STEPS + 1):
+        chosen = (own >= 1) & (score >= top[x.document] - 1e-9)
+        if turn:
+            chosen |= (own >= 2) & (score >= theta[1])
+        y = np.where(chosen, own, 0)
+        weight = np.where(chosen | (own == 0), 1.0, BESIDE)
+        w, theta = np.zeros(x.width), np.array([1.0, 1.5, 2.5])
+        m, v, vt = np.zeros(x.width), np.full(x.width, 1e-3), np.full(GRADES, 1e-3)
+        for _ in range(STEPS):
             score = x.times(w)
             pull, gt = np.zeros(x.n), np.zeros(GRADES)
             for k in range(GRADES):
@@ -252,13 +257,47 @@ def fit(texts: list[str], grades: list[int]) -> OrdinalModel:
                 pull += e
                 gt[k] = -e.sum()
             g = x.back(pull) + RIDGE * w
-            m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-            mt, vt = 0.9 * mt + 0.1 * gt, 0.99 * vt + 0.01 * gt * gt
-            c, d = 1 - 0.9**step, 1 - 0.99**step
-            w = w - 0.05 * (m / c) / (np.sqrt(v / d) + 1e-8)
-            w = np.where(speaks_for, np.maximum(w, 0), np.minimum(w, 0))
-            theta = np.sort(theta - 0.05 * (mt / c) / (np.sqrt(vt / d) + 1e-8))
-    return OrdinalModel({f: float(w[k]) for f, k in index.items() if abs(w[k]) > 1e-3}, [float(t) for t in theta])
+            m, v, vt = 0.8 * m + 0.2 * g, 0.95 * v + 0.05 * g * g, 0.95 * vt + 0.05 * gt * gt
+            rate = RATE / (np.sqrt(v) + 0.05)
+            w = w - rate * m
+            w = np.sign(w) * np.maximum(np.abs(w) - rate * LASSO, 0)
+            theta = np.sort(theta - RATE * gt / (np.sqrt(vt) + 1e-3))
+        score = x.times(w)
+    return {f: float(w[k]) for f, k in index.items() if w[k]}, theta
+
+
+def _worst(weights: dict[str, float], docs: list[list[set[str]]]) -> np.ndarray:
+    return np.array([max([0.0, *[sum([weights[f] for f in s if f in weights]) for s in d]]) for d in docs])
+
+
+def best_cut(score: np.ndarray, abusive: np.ndarray) -> float:
+    """The score that tells abusive documents from others best, by precision and recall alike; the middle of those that come near it."""
+    order = np.argsort(-score, kind="stable")
+    hits, s = np.cumsum(abusive[order]), score[order]
+    f = 2 * hits / (np.arange(1, len(s) + 1) + abusive.sum())
+    f[:-1][s[:-1] == s[1:]] = 0  # documents of one score are reported together
+    good = np.flatnonzero(f >= f.max() - NEAR)
+    below = s[good[-1] + 1] if good[-1] + 1 < len(s) else s[-1]
+    return float((s[good[0]] + below) / 2)
+
+
+def fit(texts: list[str], grades: list[int]) -> OrdinalModel:
+    """The model of graded documents. Without any abusive document nothing is known of abuse: every score is 0."""
+    grade = np.array(grades, np.int64)
+    if not (grade >= 2).any() or (grade >= 2).all():
+        return OrdinalModel({}, [1.0, 1.5, 2.5], 1.5)
+    docs = [[features(s) for s in sentences(t)] for t in texts]
+    weights, theta = _fit(docs, grade)
+    cut = float(theta[1])
+    fold = np.arange(len(docs)) % FOLDS
+    if all((grade[fold == k] >= 2).sum() >= LEAST_HELD for k in range(FOLDS)):
+        away = np.zeros(len(docs))  # scores from the threshold of the model that made them
+        for k in range(FOLDS):
+            part, part_theta = _fit([d for d, f in zip(docs, fold, strict=True) if f != k], grade[fold != k])
+            away[fold == k] = _worst(part, [d for d, f in zip(docs, fold, strict=True) if f == k]) - part_theta[1]
+        told = grade != 1  # where raters are split the label tells nothing
+        cut += best_cut(away[told], grade[told] >= 2)
+    return OrdinalModel(weights, [float(t) for t in theta], max(cut, 1e-6))
 
 
 def graded(labels: DataFrame) -> DataFrame:
@@ -284,10 +323,10 @@ def train(documents: DataFrame, labels: DataFrame) -> OrdinalModel:
 def score_documents(documents: DataFrame, model: OrdinalModel) -> DataFrame:
     """documents(doc_id, source, text) -> (doc_id, source, severity, abusive), every row, severity from 0 to 3.
 
-    severity is that of the worst sentence; abusive from the probability REPORTED_FROM of the second grade on. Null,
-    empty and tiny texts have severity 0. Long texts are read whole.
+    severity is that of the worst sentence; abusive from the model's cut on. Null, empty and tiny texts have severity
+    0. Long texts are read whole.
     """
-    cut = model.thresholds[1] - float(np.log(1 / REPORTED_FROM - 1))
+    cut = model.cut
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

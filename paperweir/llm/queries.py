@@ -141,8 +141,8 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _p10(spark: SparkSession, d: str) -> DataFrame:
-    documents = spread(table(spark, d, "documents").select("doc_id", "source", "text"))
-    return abuse.score_documents(documents, abuse.train(documents, table(spark, d, "abuse_labels")))
+    documents = table(spark, d, "documents").select("doc_id", "source", "text")
+    return abuse.score_documents(spread(documents), abuse.train(documents, table(spark, d, "abuse_labels")))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:

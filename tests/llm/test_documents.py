@@ -119,10 +119,10 @@ def labelled(n, seed):
 def test_held_out_accuracy():
     model = abuse.fit(*labelled(400, 1))
     texts, _ = labelled(300, 2)
-    right = sum((model.worst(t) >= model.thresholds[1]) == (k % 6 == 0) for k, t in enumerate(texts))
+    right = sum((model.worst(t) >= model.cut) == (k % 6 == 0) for k, t in enumerate(texts))
     assert right >= 0.97 * len(texts)
     assert model.thresholds == sorted(model.thresholds)
-    assert 0 <= model.severity(-20) < 0.01
+    assert model.severity(-20) == model.severity(0) == 0
     assert model.severity(50) > 2.99
 
 
@@ -145,8 +145,24 @@ def test_grades(spark):
 
 
 def test_without_labels(spark):
+    """Nothing is known of abuse then, so nothing is reported."""
     model = abuse.train(documents(spark), spark.createDataFrame([], "doc_id long, abusive int, rater string, certainty int"))
-    assert model.worst("You worthless idiot") >= model.thresholds[1] > model.worst("Good day")
+    assert model.worst("You worthless idiot") == 0 < model.cut
+    assert model.severity(0) == 0
+
+
+def test_what_is_learned_needs_no_lexicon(monkeypatch):
+    """Held-out accuracy without the lexicon."""
+    monkeypatch.setattr(abuse, "_LEXICON", set())
+    monkeypatch.setattr(abuse, "_PHRASES", set())
+    monkeypatch.setattr(abuse, "_PHRASE_STARTS", frozenset())
+    model = abuse.fit(*labelled(400, 1))
+    texts, _ = labelled(300, 2)
+    assert sum((model.worst(t) >= model.cut) == (k % 6 == 0) for k, t in enumerate(texts)) >= 0.97 * len(texts)
+
+
+def test_cut():
+    assert abuse.best_cut(abuse.np.array([5.0, 4.0, 4.0, 1.0, 0.0]), abuse.np.array([True, True, True, False, False])) == 2.5
 
 
 @settings(max_examples=60, deadline=None)
