@@ -1,11 +1,12 @@
 """Main content of web pages by tag-path ratios.
 
-A page is read once into blocks, each with the path of the elements that contain it. Text length and punctuation are
-summed by path, smoothed with the neighbouring paths, fused into one score, and the paths above a threshold are
-content. Standing lines of a site, which no path tells from the article, are found by counting each line over the
-site's pages, copies of one article once (pre-aggregated, hashes only) and taken out, with what hangs on them: lists under a standing heading,
-bylines, teasers. The views of one page (raw and extracts) are judged together: a block of an extract that the raw
-page holds is main where it is main there.
+A page is read once into blocks, each with its path: the names of the elements from the root to it, the tag of the block
+last. Text length and punctuation are summed by path, fused into one score, smoothed with the neighbouring paths (other
+leaves of the same elements, and the elements above), and the paths above a threshold are content. Standing lines of a
+site, which no path tells from the article, are found by counting each line over the site's pages, copies of one article
+once (pre-aggregated, hashes only), and taken out with what hangs on them: lists under a standing heading, bylines,
+teasers. The views of one page (raw and extracts) are judged together: a block of an extract that the raw page holds is
+main where it is main there. Pages are read on the scan; what is shuffled are block numbers and hashes.
 """
 
 from __future__ import annotations
@@ -21,18 +22,38 @@ from pyspark.sql import functions as F
 from paperweir.llm import residue
 from paperweir.session import materialise
 
-#: Share of a site's pages from which a line stands whatever its tag, and from which a paragraph stands; least pages.
-SHARE_ANY, SHARE_PARAGRAPH, LEAST_PAGES = 0.15, 0.02, 5
-#: Share of all pages from which a paragraph stands on any site.
-SHARE_ALL = 0.003
+#: A line stands where so many pages of its site have it, and this share of them, as lines of bodies do.
+LEAST_PAGES, SHARE = 4, 0.2
 #: A path is content from this part of the best path's score on.
 THRESHOLD = 0.35
+#: What a path takes over from other leaves of the same elements, and from the elements above.
+FROM_LEAVES, FROM_ABOVE = 0.5, 0.05
 
 BLOCKS = frozenset("p li h1 h2 h3 h4 h5 h6 pre blockquote figcaption".split())
 CONTAINERS = frozenset("div section article main aside header footer nav td th form body table center".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+_OPEN = r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b.*?(?:</\1\s*+>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*+)"
+# a tag whose quotes never end is matched up to its name; from there on quotes are not minded, so that no page is read twice
+_TOKEN = re.compile(_OPEN + r"(?:((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|(?=(.)))", re.S | re.I)
+_PLAIN = re.compile(_OPEN + r"(?:([^>]*+)>|(?=(.)))", re.S | re.I)
+
+
+def _tokens(page: str) -> Iterator[re.Match]:
+    """Tags, comments and scripts, in time linear in the page."""
+    at = 0
+    for pattern in (_TOKEN, _PLAIN):
+        for m in pattern.finditer(page, at):
+            if m[5] is not None:
+                if pattern is _PLAIN:  # no more > at all
+                    return
+                at = m.start()
+                break
+            yield m
+        else:
+            return
+
+
 _NAME = re.compile(r"\b(?:class|id)\s*=\s*[\"']?([^\"'>]*)", re.I)
 _PUNCT = re.compile(r"[.,;:!?。，；：！？]")
 _DIGITS = re.compile(r"\d+")
@@ -46,7 +67,7 @@ _SIDE = frozenset("nav header footer aside form".split())
 
 
 class Block:
-    __slots__ = ("own", "path", "role", "tag", "text", "links", "inner", "main", "where")
+    __slots__ = ("own", "path", "leaf", "role", "tag", "text", "links", "inner", "main", "where")
 
     def __init__(self, tag: str, path: int, role: bool, where: int):
         self.tag, self.path, self.role, self.where = tag, path, role, where
@@ -54,7 +75,7 @@ class Block:
         self.links = 0
         self.inner = False
         self.main = False
-        self.own = ""
+        self.own = self.leaf = ""
 
 
 def line_key(text: str) -> str:
@@ -72,7 +93,7 @@ def read_blocks(page: str) -> tuple[list[Block], list[tuple[str, int, bool]]]:
     blocks: list[Block] = []
     open_blocks: list[Block] = []
     in_link, at = 0, 0
-    for m in _TOKEN.finditer(page):
+    for m in _tokens(page):
         start = m.start()
         if start > at and open_blocks:
             text = page[at:start]
@@ -149,48 +170,54 @@ def read_blocks(page: str) -> tuple[list[Block], list[tuple[str, int, bool]]]:
 
 def select_content(blocks: list[Block], containers: list[tuple[str, int, bool]]) -> None:
     """Sets main of the blocks on content paths."""
-    n = len(containers)
-    length, marks, count, heading = [0.0] * n, [0.0] * n, [0] * n, [False] * n
+    known: dict[tuple[int, str], int] = {}
+    path: list[int] = []  # of each element: elements with the same names from the root share it
+    above, side = [], []
+    for name, parent, aside in containers:
+        key = (path[parent] if parent >= 0 else -1, name)
+        if key not in known:
+            known[key] = len(known)
+            above.append(key[0])
+            side.append(aside)
+        path.append(known[key])
+    n = len(known)
+    heading = [False] * n
     title = False
+    ratios: dict[tuple[int, str], list[float]] = {}  # of each leaf path: length, punctuation
     for b in blocks:
-        if b.tag == "h1" and not title and not containers[b.path][2]:
+        b.path = path[b.path]
+        b.leaf = "h" if b.tag in HEADINGS else b.tag
+        if b.tag == "h1" and not title and not side[b.path]:
             heading[b.path] = title = True
+        r = ratios.setdefault((b.path, b.leaf), [0.0, 0.0])
         size = max(0, len(b.own) - b.links)
-        if b.tag in HEADINGS or not size:
-            continue
-        length[b.path] += size
-        marks[b.path] += len(_PUNCT.findall(b.own)) if size > 25 else 0
-        count[b.path] += 1
-    # fuse: length times punctuation, so that lists of links and labels weigh little; smooth: paths of the same parent
-    score = [0.0] * n
-    for k in range(n):
-        if count[k]:
-            score[k] = (length[k] * (1.0 + marks[k])) ** 0.5 * (0.3 if containers[k][2] else 1.0) * (2.0 if heading[k] else 1.0)
-    smooth = [s if not count[k] else s + 0.05 * (score[containers[k][1]] if containers[k][1] >= 0 else 0.0) for k, s in enumerate(score)]
-    best = max(smooth, default=0.0)
-    if best <= 0:
+        if b.leaf != "h" and size:
+            r[0] += size
+            r[1] += len(_PUNCT.findall(b.own)) if size > 25 else 0
+    # fuse: length times punctuation, so that lists of links and labels weigh little
+    score = {(k, leaf): (length * (1.0 + marks)) ** 0.5 * (0.3 if side[k] else 1.0) * (2.0 if heading[k] else 1.0) for (k, leaf), (length, marks) in ratios.items()}
+    whole = [0.0] * n
+    for (k, _), x in score.items():
+        whole[k] += x
+    smooth = {(k, leaf): x + FROM_LEAVES * (whole[k] - x) + FROM_ABOVE * (whole[above[k]] if above[k] >= 0 else 0.0) for (k, leaf), x in score.items()}
+    # what a path takes over does not make it the best
+    best = max(((smooth[p], p) for p, x in score.items() if x > 0), default=(0.0, None))
+    if best[1] is None:
         return
-    top = smooth.index(best)
-    content = {k for k in range(n) if smooth[k] >= THRESHOLD * best and not containers[k][2] and (k == top or k != 0 and _beside(k, top, containers))}
-    # code boxes and the like inside the content belong to it
-    for k in range(n):
-        if k not in content and containers[k][1] in content and not containers[k][2] and all(b.tag == "pre" for b in blocks if b.path == k) and any(b.path == k for b in blocks):
-            content.add(k)
+    top = best[1][0]
+    content = {p for p, x in smooth.items() if p[0] == top and x >= THRESHOLD * best[0] and not side[top]}
+    # boxes inside the content that hold code alone belong to it
+    leaves: dict[int, set[str]] = {}
+    for k, leaf in smooth:
+        leaves.setdefault(k, set()).add(leaf)
+    content |= {(k, "pre") for k, own in leaves.items() if own == {"pre"} and above[k] == top and not side[k]}
     for b in blocks:
-        b.main = b.path in content
-
-
-def _beside(k: int, top: int, containers: list[tuple[str, int, bool]]) -> bool:
-    """Same kind of path: the same names from the root, so parts of one article in like boxes."""
-    while k > 0 and top > 0:
-        if containers[k][0] != containers[top][0]:
-            return False
-        k, top = containers[k][1], containers[top][1]
-    return k == top == 0 or k == top
+        b.main = (b.path, b.leaf) in content
 
 
 _BLOCK = pa.struct([("n", pa.int32()), ("h", pa.int64()), ("tag", pa.int8()), ("state", pa.int8())])
-_PAGE = "id string, site string, view string, blocks array<struct<n:int,h:long,tag:tinyint,state:tinyint>>, message boolean, text long"
+_VIEW = pa.struct([("view", pa.string()), ("blocks", pa.list_(_BLOCK))])
+_PAGE = "id string, views array<struct<view:string,blocks:array<struct<n:int,h:long,tag:tinyint,state:tinyint>>>>, message boolean, text long"
 #: Letters from which a main block tells one article from another; shorter ones do so only on pages without longer ones.
 LONG_BLOCK = 90
 #: state of a block: 0 outside the content, 1 main so far, 2 taken out by what it says (byline, teaser, link), 3 empty.
@@ -204,9 +231,10 @@ def _read(views: list[str]):
         import xxhash
 
         for batch in batches:
-            ids, sites, names, rows, messages, texts = [], [], [], [], [], []
+            ids, pages, messages, texts = [], [], [], []
             columns = [batch.column(v).to_pylist() for v in views]
-            for k, (i, site) in enumerate(zip(batch.column("id").to_pylist(), batch.column("site").to_pylist(), strict=True)):
+            for k, i in enumerate(batch.column("id").to_pylist()):
+                found, message, text = [], False, None
                 for v, column in zip(views, columns, strict=True):
                     page = column[k]
                     if not page:
@@ -217,29 +245,31 @@ def _read(views: list[str]):
                     select_content(blocks, containers)
                     out, near_top, body, long = [], 0, [], []
                     for n, b in enumerate(blocks, 1):
-                        text = b.own
+                        own = b.own
                         state = 1 if b.main else 0
-                        if not text.strip():
+                        if not own.strip():
                             state = 3 if b.main else 0
                         elif state:
                             near_top += b.tag != "h1"
-                            short = len(text) < 90
-                            if b.role or (b.tag == "li" and b.links >= 0.8 * len(text)) or (short and _TEASER.search(text)) or _TEASER.search(text[-3:]) or (short and near_top <= 8 and (_BYLINE.match(text) and text[-1] not in ".!?" or _DATE_LINE.match(text))):
+                            short = len(own) < 90
+                            if b.role or (b.tag == "li" and b.links >= 0.8 * len(own)) or (short and _TEASER.search(own)) or _TEASER.search(own[-3:]) or (short and near_top <= 8 and (_BYLINE.match(own) and own[-1] not in ".!?" or _DATE_LINE.match(own))):
                                 state = 2
                             else:
-                                body.append(text)
-                        key = line_key(text) if text else ""
-                        if state == 1 and len(text) >= LONG_BLOCK:
+                                body.append(own)
+                        key = line_key(own) if own else ""
+                        if state == 1 and len(own) >= LONG_BLOCK:
                             long.append(key)
                         out.append({"n": n, "h": xxhash.xxh3_64_intdigest(key) - (1 << 63), "tag": _TAG_NUMBER[b.tag], "state": state})
+                    found.append({"view": v, "blocks": out})
+                    message = message or is_message(body)
+                    if text is None:  # what tells copies of one article; a page without main text is its own
+                        text = xxhash.xxh3_64_intdigest("\n".join(long or [line_key(t) for t in body] or [f"\0{i}"])) - (1 << 63)
+                if found:
                     ids.append(i)
-                    sites.append(site)
-                    names.append(v)
-                    rows.append(out)
-                    messages.append(is_message(body))
-                    # what tells copies of one article; a page without main text is its own
-                    texts.append(xxhash.xxh3_64_intdigest("\n".join(long or [line_key(t) for t in body] or [f"\0{i}"])) - (1 << 63))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(sites, pa.string()), pa.array(names, pa.string()), pa.array(rows, pa.list_(_BLOCK)), pa.array(messages, pa.bool_()), pa.array(texts, pa.int64())], names=["id", "site", "view", "blocks", "message", "text"])
+                    pages.append(found)
+                    messages.append(message)
+                    texts.append(text)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(pages, pa.list_(_VIEW)), pa.array(messages, pa.bool_()), pa.array(texts, pa.int64())], names=["id", "views", "message", "text"])
 
     return run
 
@@ -259,70 +289,54 @@ def is_message(body: list[str]) -> bool:
     return bad >= 0.5 * whole or (len(text.split()) <= residue.SHORT_WORDS and bool(residue.page_kind(text) or any(residue.page_kind(t) for t in body)))
 
 
-def _label(views: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, names, numbers = [], [], []
-            for i, view_list, anywhere, paragraphs in zip(*(batch.column(c).to_pylist() for c in ("id", "views", "anywhere", "paragraphs")), strict=True):
-                standing, low = set(anywhere or ()), set(paragraphs or ())
-                by_view = {v["view"]: v for v in view_list}
-                known: dict[int, bool] = {}
-                whole_message = any(v["message"] for v in view_list)
-                for name in views:
-                    if name not in by_view or whole_message:
-                        continue
-                    blocks = by_view[name]["blocks"]
-                    under = False  # in a list under a standing heading
-                    main: list[bool] = []
-                    for b in blocks:
-                        h, tag = b["h"], b["tag"]
-                        stands = h in standing or (h in low and tag in (_P, _LI))
-                        if tag in _HEADS:
-                            under = stands
-                        elif tag != _LI:
-                            under = False
-                        ok = b["state"] == 1 and not stands and not (under and tag == _LI)
-                        if b["state"] != 3 and h in known:
-                            ok = known[h] and not (under and tag == _LI)
-                        main.append(ok)
-                    for b, ok in zip(blocks, main, strict=True):
-                        known[b["h"]] = known.get(b["h"], False) or ok
-                    # a quote or item that only holds other blocks is as they are
-                    for k in range(len(blocks) - 2, -1, -1):
-                        if blocks[k]["state"] == 3 and blocks[k]["tag"] in (_LI, _TAG_NUMBER["blockquote"]) and main[k + 1] and blocks[k + 1]["tag"] in (_P, _LI):
-                            main[k] = True
-                    got = [b["n"] for b, ok in zip(blocks, main, strict=True) if ok]
-                    ids += [i] * len(got)
-                    names += [name] * len(got)
-                    numbers += got
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(names, pa.string()), pa.array(numbers, pa.int32())], names=["id", "view", "block_no"])
-
-    return run
-
-
-def main_blocks(pages: DataFrame, views: list[str]) -> DataFrame:
-    """pages(id, site, one column of HTML a view) -> (id, view, block_no) of the blocks of the main body.
+def _label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, names, numbers = [], [], []
+        for i, views, standing in zip(*(batch.column(c).to_pylist() for c in ("id", "views", "standing")), strict=True):
+            standing = set(standing or ())
+            known: dict[int, bool] = {}
+            for view in views:
+                blocks = view["blocks"]
+                under = False  # in a list under a standing heading
+                main: list[bool] = []
+                for b in blocks:
+                    h, tag = b["h"], b["tag"]
+                    stands = h in standing
+                    if tag in _HEADS:
+                        under = stands
+                    elif tag != _LI:
+                        under = False
+                    ok = b["state"] == 1 and not stands and not (under and tag == _LI)
+                    if b["state"] != 3 and h in known:
+                        ok = known[h] and not (under and tag == _LI)
+                    main.append(ok)
+                for b, ok in zip(blocks, main, strict=True):
+                    known[b["h"]] = known.get(b["h"], False) or ok
+                # a quote or item that only holds other blocks is as they are
+                for k in range(len(blocks) - 2, -1, -1):
+                    if blocks[k]["state"] == 3 and blocks[k]["tag"] in (_LI, _TAG_NUMBER["blockquote"]) and main[k + 1] and blocks[k + 1]["tag"] in (_P, _LI):
+                        main[k] = True
+                got = [b["n"] for b, ok in zip(blocks, main, strict=True) if ok]
+                ids += [i] * len(got)
+                names += [view["view"]] * len(got)
+                numbers += got
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(names, pa.string()), pa.array(numbers, pa.int32())], names=["id", "view", "block_no"])
+
+
+def main_blocks(pages: DataFrame, views: list[str], sites: DataFrame) -> DataFrame:
+    """pages(id, one column of HTML a view), sites(id, site) -> (id, view, block_no) of the blocks of the main body.
 
     views: the columns, the fullest view (the raw page) first. Blocks are numbered from 1 in each view by their start
     tags. Null and empty pages, pages without blocks and pages that hold a message instead of an article have none. A
-    null site counts as a site of its own. Repeated ids are judged together.
+    page without a site, or with a null one, is a site of its own. Rows are judged each alone, repeated ones alike.
     """
-    read = materialise(pages.select(F.col("id").cast("string").alias("id"), F.coalesce(F.col("site"), F.lit("")).alias("site"), *views).mapInArrow(_read(views), _PAGE), "blocks")
-    lines = read.select("site", "id", "view", "text", F.inline("blocks")).where("state <> 3")
-    # each line once a page: the first view that has blocks stands for the page
-    page = read.groupBy("id").agg(F.min_by("view", F.array_position(F.array(*[F.lit(v) for v in views]), F.col("view"))).alias("view"))
-    # and once an article: pages of the same main text are one, so that copies don't make its paragraphs standing lines
-    one = materialise(lines.join(page, ["id", "view"], "left_semi").groupBy("site", "text", "h").agg(F.max((F.col("tag") == _P).cast("int")).alias("p")), "once")
-    counted = materialise(one.groupBy("site", "h").agg(F.count("*").alias("n"), F.sum("p").alias("np")).where("n > 1"), "lines")
-    articles = read.join(page, ["id", "view"], "left_semi").select("site", "text").distinct()
-    totals = articles.groupBy("site").agg(F.count("*").alias("pages"))
-    every = articles.select("text").distinct().count()
-    least = max(LEAST_PAGES, SHARE_ALL * every)
-    often = one.where("p = 1").groupBy("h").agg(F.count("*").alias("k")).where(F.col("k") >= least).select("h")
-    wide = one.where("p = 1").join(often, "h").groupBy("h").agg(F.count_distinct("text").alias("np_all")).where(F.col("np_all") >= least).select("h", F.lit(True).alias("wide"))
-    shares = counted.join(totals, "site").join(wide, "h", "left")
-    anywhere = (F.col("n") >= F.lit(4)) & (F.col("n") >= SHARE_ANY * F.col("pages"))
-    low = ((F.col("np") >= LEAST_PAGES) & (F.col("np") >= SHARE_PARAGRAPH * F.col("pages"))) | F.col("wide")
-    standing = shares.where(anywhere | low).groupBy("site").agg(F.collect_set(F.when(anywhere, F.col("h"))).alias("anywhere"), F.collect_set(F.when(low, F.col("h"))).alias("paragraphs"))
-    together = read.groupBy("site", "id").agg(F.collect_list(F.struct("view", "blocks", "message")).alias("views"))
-    return together.join(standing, "site", "left").select("id", "views", "anywhere", "paragraphs").mapInArrow(_label(views), "id string, view string, block_no int")
+    read = materialise(pages.select(F.col("id").cast("string").alias("id"), *views).mapInArrow(_read(views), _PAGE), "blocks")
+    known = sites.where("site is not null").select(F.col("id").cast("string").alias("id"), "site").dropDuplicates(["id"])
+    placed = read.join(known, "id", "left")
+    # each line once a page, the first view standing for it, and once an article: copies don't make its lines standing ones
+    lines = F.array_distinct(F.transform(F.filter(F.col("views")[0]["blocks"], lambda b: b["state"] != 3), lambda b: b["h"]))
+    counted = placed.where("site is not null").select("site", "text", F.explode(lines).alias("h")).distinct().groupBy("site", "h").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES)
+    totals = placed.where("site is not null").select("site", "text").distinct().groupBy("site").agg(F.count("*").alias("articles"))
+    # at most 1 / SHARE times as many as an article has lines
+    standing = counted.join(totals, "site").where(F.col("n") >= SHARE * F.col("articles")).groupBy("site").agg(F.collect_list("h").alias("standing"))
+    return placed.where("not message").join(standing, "site", "left").select("id", "views", "standing").mapInArrow(_label, "id string, view string, block_no int")

@@ -67,9 +67,9 @@ P4_VIEWS = ["rawHtml", "readableContentHtml", "cleanedHtml"]
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    w = spread(table(spark, d, "web_articles").select(F.col("sourceId").alias("source_id"), *P4_VIEWS))
-    pages = w.join(sites_of_sources(table(spark, d, "sources")), "source_id", "left").select(F.col("source_id").alias("id"), F.col("host").alias("site"), *P4_VIEWS)
-    return mainbody.main_blocks(pages, P4_VIEWS).select(F.col("id").alias("source_id"), F.col("view").alias("field_name"), "block_no")
+    pages = spread(table(spark, d, "web_articles").select(F.col("sourceId").alias("id"), *P4_VIEWS))
+    sites = sites_of_sources(table(spark, d, "sources")).select(F.col("source_id").alias("id"), F.col("host").alias("site"))
+    return mainbody.main_blocks(pages, P4_VIEWS, sites).select(F.col("id").alias("source_id"), F.col("view").alias("field_name"), "block_no")
 
 
 def _p5(spark: SparkSession, d: str) -> mojibake.Repair:

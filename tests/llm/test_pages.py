@@ -1,5 +1,7 @@
 """Main content, encodings, residue and site lines."""
 
+import time
+
 import pytest
 
 from paperweir.llm import mainbody, mojibake, residue, sitelines
@@ -17,9 +19,13 @@ def pages(spark, n=12):
     return spark.createDataFrame(rows, "id string, site string, raw string, clean string")
 
 
+def found(pages, views):
+    return mainbody.main_blocks(pages.select("id", *views), views, pages.select("id", "site")).collect()
+
+
 def test_main_blocks(spark):
     got = {}
-    for r in mainbody.main_blocks(pages(spark), ["raw", "clean"]).collect():
+    for r in found(pages(spark), ["raw", "clean"]):
         got.setdefault((r.id, r.view), set()).add(r.block_no)
     # 1 nav item, 2 cookies, 3 title, 4 byline, 5 text, 6 subhead, 7 text, 8 and 9 items, 10 thanks, 11 side, 12 footer
     assert {k[0] for k in got} == {f"p{i}" for i in range(12)}
@@ -31,7 +37,7 @@ def test_copies_of_an_article_are_no_standing_lines(spark):
     page = "<body><div id=top><p>We use cookies to count visits.</p></div><div id=content><h1>{0} opens</h1><p>{0} {1}</p><p>In {0}, the lamp {1}</p><p>Thank you for reading.</p></div></body>"
     rows = [(f"p{c}", "s", page.format(f"Gate {c} of Hofmus", text)) for c in "abcdefghijkl"] + [(f"copy{k}", "s" if k % 2 else f"s{k}", page.format("The old pier", text)) for k in range(16)]
     got = {}
-    for r in mainbody.main_blocks(spark.createDataFrame(rows, "id string, site string, raw string"), ["raw"]).collect():
+    for r in found(spark.createDataFrame(rows, "id string, site string, raw string"), ["raw"]):
         got.setdefault(r.id, set()).add(r.block_no)
     assert set(got) == {r[0] for r in rows}
     assert {2, 3, 4} <= set.intersection(*got.values())
@@ -51,8 +57,24 @@ def test_blocks_of_malformed_pages():
     assert mainbody.read_blocks("<p>" * 5000)[0][-1].tag == "p"
 
 
+@pytest.mark.parametrize("page", ["<div>" * 10_000 + "<p>x", '<a href="' * 20_000, "<p " * 20_000, "<!--" * 20_000, "<script" * 20_000, "<p class='" * 10_000 + ">x", '<a b="<a b=\'' * 10_000 + ">", "</p" + " " * 50_000 + "</script " * 9_000])
+def test_hostile_pages_take_linear_time(page):
+    began = time.perf_counter()
+    blocks, containers = mainbody.read_blocks(page)
+    mainbody.select_content(blocks, containers)
+    assert time.perf_counter() - began < 2
+
+
+def test_paths_merge_elements_of_the_same_names():
+    """The parts of an article in boxes of one kind are one path."""
+    part = "<div class=part><p>The gate was mended, as the drivers had asked, twice a week.</p></div>"
+    blocks, containers = mainbody.read_blocks(f"<body><div class=menu><p>Menu</p></div><div class=story>{part * 3}<div class=part><p>Yes.</p></div></div></body>")
+    mainbody.select_content(blocks, containers)
+    assert [b.main for b in blocks] == [False, True, True, True, True]
+
+
 def test_empty_pages(spark):
-    assert mainbody.main_blocks(spark.createDataFrame([], "id string, site string, raw string"), ["raw"]).count() == 0
+    assert found(spark.createDataFrame([], "id string, site string, raw string"), ["raw"]) == []
 
 
 CLEAN = {"de": "über für schön Straße Brücke Müller während größer", "fr": "à côté été déjà l’île château fenêtre – après", "ru": "город река школа станция молчит возле против старый мост", "cs": "čeká přístav střechou řeka škola příští"}
