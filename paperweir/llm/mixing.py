@@ -1,8 +1,8 @@
 """Mixing of sources to target weights.
 
 Each document gets a hash key; within its source documents stand in the order of the key, and the tokens before each
-one are a distributed prefix sum: sums by (source, bucket of the key), summed over the few buckets, plus the sum
-inside the bucket. A source's budget is cut at the exact place of that order; where the budget exceeds the source, it
+one are a distributed prefix sum on three levels: sums by (source, bucket of the key), by (source, part of the buckets)
+and by source, each level adding what stands before it, so no task orders more than a few thousand rows. A source's budget is cut at the exact place of that order; where the budget exceeds the source, it
 is repeated whole, up to its cap, and the last epoch is cut.
 """
 
@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Documents that a bucket holds about; a window never orders more of one source in a task than a few buckets' skew.
-BUCKET_DOCUMENTS = 2_000
+#: Documents that a bucket holds about, and buckets that a part holds.
+BUCKET_DOCUMENTS, PART_BUCKETS = 2_000, 2_000
 
 
 def ordered_tokens(sized: DataFrame, seed: int = 0) -> DataFrame:
@@ -24,12 +24,14 @@ def ordered_tokens(sized: DataFrame, seed: int = 0) -> DataFrame:
     counts = sized.groupBy("source").agg(F.count("*").alias("n_source"))
     keyed = sized.join(counts, "source").withColumn("key", key)
     # the bucket is the key's place among equal parts of its range, so buckets are in the order of the key
-    parts = F.greatest(F.lit(1), F.ceil(F.col("n_source") / BUCKET_DOCUMENTS)).cast("long")
-    keyed = keyed.withColumn("bucket", F.floor((F.col("key").cast("double") / F.lit(2.0**64) + 0.5) * parts).cast("long"))
-    sums = keyed.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("s"))
-    order = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("source", "bucket", F.coalesce(F.sum("s").over(order), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = F.greatest(F.lit(1), F.ceil(F.col("n_source") / BUCKET_DOCUMENTS)).cast("long")
+    keyed = keyed.withColumn("bucket", F.floor((F.col("key").cast("double") / F.lit(2.0**64) + 0.5) * buckets).cast("long"))
+    before = lambda value, *keys: Window.partitionBy(*keys).orderBy(*value).rowsBetween(Window.unboundedPreceding, -1)
+    sums = keyed.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("s")).withColumn("part", F.floor(F.col("bucket") / PART_BUCKETS))
+    parts = sums.groupBy("source", "part").agg(F.sum("s").alias("s")).select("source", "part", F.coalesce(F.sum("s").over(before(["part"], "source")), F.lit(0)).alias("outer"))
+    within = sums.withColumn("start", F.coalesce(F.sum("s").over(before(["bucket"], "source", "part")), F.lit(0)))
+    starts = within.join(parts, ["source", "part"]).select("source", "bucket", (F.col("outer") + F.col("start")).alias("start"))
+    inside = before(["key", "doc_id"], "source", "bucket")
     placed = keyed.join(starts, ["source", "bucket"]).withColumn("before", F.col("start") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
     return placed.select("doc_id", "source", "n_tokens", "before")
 

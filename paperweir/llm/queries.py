@@ -12,9 +12,11 @@ from paperweir.llm.common import sites_of_sources
 from paperweir.session import materialise, spread, table
 
 
-def _site_documents(spark: SparkSession, d: str) -> DataFrame:
-    articles = table(spark, d, "web_articles").where("body is not null").select(F.col("sourceId").alias("source_id"), "body", "date")
-    return articles.join(sites_of_sources(table(spark, d, "sources")), "source_id").select(F.col("source_id").alias("id"), F.col("host").alias("site"), "body", "date")
+def _site_lines(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The bodies of pages and the lines of those whose source has a site."""
+    bodies = table(spark, d, "web_articles").select(F.col("sourceId").alias("id"), "body", "date")
+    sites = sites_of_sources(table(spark, d, "sources")).select(F.col("source_id").alias("id"), F.col("host").alias("site"))
+    return bodies, sitelines.placed_lines(spread(bodies), sites)
 
 
 def _linked_names(spark: SparkSession, d: str) -> DataFrame:
@@ -106,11 +108,20 @@ def p6_templates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return sitelines.standing_lines(_site_documents(spark, d)).select(F.col("id").alias("source_id"), F.col("line_no").cast("int").alias("line_no"))
+    _, lines = _site_lines(spark, d)
+    return sitelines.standing_lines(lines).select(F.col("id").alias("source_id"), F.col("line_no").cast("int").alias("line_no"))
+
+
+def p7_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The standing lines of each site by bodies, with distinct texts and dates: those of one republished article are of one date."""
+    _, lines = _site_lines(spark, d)
+    s = sitelines.line_statistics(lines).where((F.col("n_bodies") >= 4) & (F.col("n_bodies") >= 0.2 * F.col("site_bodies")))
+    return s.groupBy("site").agg(F.count("*").alias("n_lines"), F.sum("n_bodies").alias("n_bodies"), F.sum("n_clusters").alias("n_clusters"), F.sum("n_dates").alias("n_dates"))
 
 
 def p7_clean_bodies(spark: SparkSession, d: str) -> DataFrame:
-    clean = sitelines.cut_standing_lines(_site_documents(spark, d))
+    bodies, lines = _site_lines(spark, d)
+    clean = sitelines.cut_standing_lines(bodies.where("body is not null").join(lines.select("id"), "id", "left_semi"), lines)
     return clean.select(F.col("id").alias("source_id"), F.sha2("clean_body", 256).alias("clean_hash"), F.length("clean_body").alias("n_chars"))
 
 
@@ -126,9 +137,8 @@ def p8_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 def _sized(spark: SparkSession, d: str) -> DataFrame:
     """The documents of the sources with a target, with their number of tokens; counted once and kept."""
-    documents = table(spark, d, "documents").join(table(spark, d, "mix_targets").select("source"), "source", "left_semi")
-    counts = tokenids.count_tokens(documents)
-    return materialise(documents.select("doc_id", "source").join(counts, "doc_id"), "sized")
+    documents = spread(table(spark, d, "documents").select("doc_id", "source", "text")).join(table(spark, d, "mix_targets").select("source"), "source", "left_semi")
+    return materialise(tokenids.count_tokens(documents, carry="source"), "sized")
 
 
 def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
@@ -169,6 +179,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_found": p6_found,
     "p6_templates": p6_templates,
     "p7_found": p7_found,
+    "p7_lines": p7_lines,
     "p7_clean_bodies": p7_clean_bodies,
     "p8_ids": p8_ids,
     "p8_round_trip": p8_round_trip,
@@ -182,15 +193,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _HOST = r"regexp_replace(regexp_extract(lower(trim(origin.canonicalUrl)), '^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '^(www|m|amp)\.', '')"
 _LINES = rf"""
 with src as (select distinct id, nullif({_HOST}, '') as host from sources where id is not null),
-docs as (select w."sourceId" as source_id, s.host, w.body from web_articles w join src s on s.id = w."sourceId" where w.body is not null and s.host is not null),
-lines as (select source_id, host, unnest(range(1, len(l) + 1)) as line_no, unnest(l) as line from (select *, string_split(body, chr(10)) as l from docs)),
-normal as (select source_id, host, line_no, line, regexp_replace(lower(trim(regexp_replace(line, '[\x09-\x0d\x1c-\x20\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+', ' ', 'g'))), '\p{{Nd}}+', '0', 'g') as n from lines),
+docs as (select w."sourceId" as source_id, s.host, w.body, w.date from web_articles w join src s on s.id = w."sourceId" where w.body is not null and s.host is not null),
+lines as (select source_id, host, body, date, unnest(range(1, len(l) + 1)) as line_no, unnest(l) as line from (select *, string_split(body, chr(10)) as l from docs)),
+normal as (select source_id, host, body, date, line_no, line, regexp_replace(lower(trim(regexp_replace(line, '[\x09-\x0d\x1c-\x20\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+', ' ', 'g'))), '\p{{Nd}}+', '0', 'g') as n from lines),
 counted as (select host, n, count(distinct source_id) as k from normal where length(regexp_replace(n, '[^\p{{L}}]', '', 'g')) >= 10 group by host, n),
 total as (select host, count(*) as k from docs group by host),
 standing as (select c.host, c.n from counted c join total t using (host) where c.k >= 4 and c.k >= 0.2 * t.k)
 """
 SQL = {
     "p7_found": _LINES + "select source_id, cast(line_no as integer) as line_no from normal join standing using (host, n)",
+    "p7_lines": _LINES
+    + """select host as site, count(*) as n_lines, cast(sum(bodies) as bigint) as n_bodies, cast(sum(clusters) as bigint) as n_clusters, cast(sum(dates) as bigint) as n_dates from
+(select host, n, count(distinct source_id) as bodies, count(distinct body) as clusters, count(distinct date) as dates from normal join standing using (host, n) group by host, n) group by host""",
     "p7_clean_bodies": _LINES
     + """select source_id, sha256(coalesce(clean, '')) as clean_hash, cast(length(coalesce(clean, '')) as integer) as n_chars from docs left join
 (select source_id, string_agg(line, chr(10) order by line_no) as clean from normal anti join standing using (host, n) group by source_id) using (source_id)""",

@@ -5,7 +5,8 @@ text are the ids of its pre-tokens in order. The corpus is cut into chunks of bo
 words of the chunk and, for each document, the positions of its pre-tokens as numbers into them. Only (chunk, number,
 word) rows are exploded and shuffled; each distinct word of the corpus is encoded once, its ids are joined back to the
 chunks, and each chunk reassembles its documents by position. A common word thus moves once a chunk, not once an
-occurrence, and no word is hot in a shuffle: it has at most one row a chunk.
+occurrence. In a corpus of very many chunks a common word still has a row in each: the join back has one row a word on
+its other side, so adaptive execution splits such a word's partition without multiplying anything.
 """
 
 from __future__ import annotations
@@ -15,9 +16,9 @@ import functools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperweir.session import materialise
@@ -25,7 +26,7 @@ from paperweir.session import materialise
 #: Bounds of a chunk: characters of text and documents.
 CHUNK_CHARS, CHUNK_DOCS = 8_000_000, 8_192
 
-_CHUNK = "chunk string, words array<string>, doc_ids array<long>, lengths array<int>, positions array<int>"
+_CHUNK = "chunk string, words array<string>, doc_ids array<long>, carried array<string>, lengths array<int>, positions array<int>"
 
 
 def tokenizer_folder() -> str:
@@ -43,7 +44,7 @@ def _encoder(path: str):
     return t
 
 
-def _chunks(id_column: str, text_column: str, pattern: str):
+def _chunks(pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
         from pyspark import TaskContext
@@ -52,32 +53,35 @@ def _chunks(id_column: str, text_column: str, pattern: str):
         part, number = TaskContext.get().partitionId(), 0
         known: dict[str, int] = {}
         ids: list[int] = []
+        carried: list[str | None] = []
         lengths: list[int] = []
         positions: list[np.ndarray] = []
         chars = 0
 
         def out():
-            nonlocal number, known, ids, lengths, positions, chars
+            nonlocal number, known, ids, carried, lengths, positions, chars
             flat = np.concatenate(positions) if positions else np.zeros(0, np.int32)
             row = pa.RecordBatch.from_arrays(
                 [
                     pa.array([f"{part}-{number}"]),
                     pa.array([list(known)], pa.list_(pa.string())),
                     pa.ListArray.from_arrays([0, len(ids)], pa.array(ids, pa.int64())),
+                    pa.ListArray.from_arrays([0, len(carried)], pa.array(carried, pa.string())),
                     pa.ListArray.from_arrays([0, len(lengths)], pa.array(lengths, pa.int32())),
                     pa.ListArray.from_arrays([0, len(flat)], pa.array(flat, pa.int32())),
                 ],
-                names=["chunk", "words", "doc_ids", "lengths", "positions"],
+                names=["chunk", "words", "doc_ids", "carried", "lengths", "positions"],
             )
-            number, known, ids, lengths, positions, chars = number + 1, {}, [], [], [], 0
+            number, known, ids, carried, lengths, positions, chars = number + 1, {}, [], [], [], [], 0
             return row
 
         for batch in batches:
-            for doc, text in zip(batch.column(id_column).to_pylist(), batch.column(text_column).to_pylist(), strict=True):
+            for doc, more, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "carried", "text")), strict=True):
                 pre = split(text) if text else []
                 get = known.setdefault
                 at = np.fromiter([get(w, len(known)) for w in pre], np.int32, len(pre))
                 ids.append(doc)
+                carried.append(more)
                 lengths.append(len(at))
                 positions.append(at)
                 chars += len(text or "")
@@ -116,7 +120,7 @@ def _assemble(count_only: bool):
                 ends = np.concatenate([[0], np.cumsum(n)])
                 bounds = ends[np.concatenate([[0], np.cumsum(lengths)])]
                 if count_only:
-                    yield pa.RecordBatch.from_arrays([docs, pa.array(np.diff(bounds), pa.int64())], names=["doc_id", "n_tokens"])
+                    yield pa.RecordBatch.from_arrays([docs, batch.column("carried")[i].values, pa.array(np.diff(bounds), pa.int64())], names=["doc_id", "carried", "n_tokens"])
                     continue
                 # the ids of every occurrence, in order: the start of its word plus 0, 1, ...
                 index = np.repeat(starts[at] - ends[:-1], n) + np.arange(ends[-1])
@@ -130,19 +134,20 @@ def _assemble(count_only: bool):
     return run
 
 
-def _encoded(documents: DataFrame, id_column: str, text_column: str, tokenizer_file: str, count_only: bool) -> DataFrame:
+def _encoded(documents: DataFrame, id_column: str, text_column: str, tokenizer_file: str, count_only: bool, carry: Column | None = None) -> DataFrame:
     import public_tokenizers
 
-    rows = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    chunks = materialise(rows.mapInArrow(_chunks("doc_id", "text", public_tokenizers.PATTERN), _CHUNK), "chunks")
+    carried = F.lit(None) if carry is None else carry
+    rows = documents.select(F.col(id_column).cast("long").alias("doc_id"), carried.cast("string").alias("carried"), F.col(text_column).alias("text"))
+    chunks = materialise(rows.mapInArrow(_chunks(public_tokenizers.PATTERN), _CHUNK), "chunks")
     words = chunks.select("chunk", F.posexplode("words").alias("n", "word"))
     coded = words.select("word").distinct().mapInArrow(_encode_words(tokenizer_file), "word string, ids array<int>")
     if count_only:
         # an encoded word as so many empty places: the assembly needs the numbers alone
         coded = coded.select("word", F.transform("ids", lambda _: F.lit(0)).alias("ids"))
     back = words.join(coded, "word").groupBy("chunk").agg(F.collect_list(F.struct("n", "ids")).alias("coded"))
-    whole = chunks.drop("words").join(back, "chunk", "left").select("doc_ids", "lengths", "positions", F.coalesce(F.col("coded.n"), F.array().cast("array<int>")).alias("n"), F.coalesce(F.col("coded.ids"), F.array().cast("array<array<int>>")).alias("ids"))
-    return whole.mapInArrow(_assemble(count_only), "doc_id long, n_tokens long" if count_only else "doc_id long, ids array<int>")
+    whole = chunks.drop("words").join(back, "chunk", "left").select("doc_ids", "carried", "lengths", "positions", F.coalesce(F.col("coded.n"), F.array().cast("array<int>")).alias("n"), F.coalesce(F.col("coded.ids"), F.array().cast("array<array<int>>")).alias("ids"))
+    return whole.mapInArrow(_assemble(count_only), "doc_id long, carried string, n_tokens long" if count_only else "doc_id long, ids array<int>")
 
 
 def encode_corpus(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", tokenizer_file: str | None = None) -> DataFrame:
@@ -153,35 +158,48 @@ def encode_corpus(documents: DataFrame, id_column: str = "doc_id", text_column:
     return _encoded(documents, id_column, text_column, tokenizer_file or tokenizer_folder() + "byte_bpe_50k.json", False)
 
 
-def count_tokens(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", tokenizer_file: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens) of every row, by the same way as encode_corpus; null and empty texts have 0."""
-    return _encoded(documents, id_column, text_column, tokenizer_file or tokenizer_folder() + "byte_bpe_50k.json", True)
+def count_tokens(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", tokenizer_file: str | None = None, carry: str | None = None) -> DataFrame:
+    """(doc_id, n_tokens) of every row, by the same way as encode_corpus; null and empty texts have 0.
+
+    carry: a string column that comes out with the counts, so that they need not be joined back.
+    """
+    counted = _encoded(documents, id_column, text_column, tokenizer_file or tokenizer_folder() + "byte_bpe_50k.json", True, None if carry is None else F.col(carry))
+    return counted.select("doc_id", "n_tokens") if carry is None else counted.select("doc_id", F.col("carried").alias(carry), "n_tokens")
 
 
-def token_bytes(path: str | None = None) -> dict[int, bytes]:
-    """id -> bytes of a rank file in tiktoken's format."""
+@functools.lru_cache(maxsize=2)
+def token_bytes(path: str | None = None) -> pa.BinaryArray:
+    """The token-byte table of a rank file in tiktoken's format: the bytes of id k at place k, null for ids it leaves out."""
     path = path or tokenizer_folder() + "byte_bpe_50k.tiktoken"
     with open(path, "rb") as f:
-        return {int(i): base64.b64decode(b) for b, i in map(bytes.split, f)}
+        table = {int(i): base64.b64decode(b) for b, i in map(bytes.split, f)}
+    return pa.array([table.get(i) for i in range(max(table) + 1)], pa.binary())
 
 
 def decode_corpus(encoded: DataFrame, rank_file: str | None = None) -> DataFrame:
-    """encoded(doc_id, ids) -> (doc_id, text): each id's bytes from the token-byte table, joined by position.
+    """encoded(doc_id, ids) -> (doc_id, text): the ids of a batch joined with the token-byte table at once, by position.
 
-    The table has as many rows as the vocabulary (50,256), a bound that does not grow with the corpus, so each task
-    holds it. Ids outside the table give null text.
+    The table has as many rows as the vocabulary (50,256), a bound that does not grow with the corpus, so it is on the
+    build side in each task; the gathered bytes lie in the order of the positions, so a text is a slice of them. Null
+    lists and ids outside the table give null text.
     """
-    path = rank_file
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = token_bytes(path)
-        for pdf in batches:
-            texts = []
-            for ids in pdf["ids"]:
-                try:
-                    texts.append(b"".join([table[i] for i in ids]).decode("utf-8", "replace"))
-                except (KeyError, TypeError):
-                    texts.append(None)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": texts})
-
-    return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, text string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = token_bytes(rank_file)
+        for batch in batches:
+            lists = batch.column("ids")
+            flat = lists.flatten()
+            inside = pa.compute.and_(pa.compute.greater_equal(flat, 0), pa.compute.less(flat, len(table)))
+            joined = table.take(pa.compute.if_else(inside, flat, None))
+            lost = np.concatenate([[0], np.cumsum(np.asarray(pa.compute.is_null(joined)))])
+            # where each token's bytes begin in the buffer of all
+            sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(joined), 0))
+            at = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+            data = bytes(joined.buffers()[2] or b"")
+            n = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0))
+            bounds = np.concatenate([[0], np.cumsum(n)])
+            none = np.asarray(pa.compute.is_null(lists))
+            texts = [None if none[k] or lost[b] > lost[a] else data[at[a] : at[b]].decode("utf-8", "replace") for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")

@@ -38,6 +38,13 @@ def test_round_trip_and_chunks(spark, monkeypatch):
     assert [back[i] for i in range(300)] == texts
 
 
+def test_ids_outside_the_table(spark):
+    df = spark.createDataFrame([(1, [0, 1]), (2, [10**9]), (3, None), (4, []), (5, [-1, 0]), (6, [2])], "doc_id long, ids array<int>")
+    got = {r.doc_id: r.text for r in tokenids.decode_corpus(df).collect()}
+    table = tokenids.token_bytes()
+    assert got == {1: (table[0].as_py() + table[1].as_py()).decode(), 2: None, 3: None, 4: "", 5: None, 6: table[2].as_py().decode()}
+
+
 def test_repeated_rows_and_empty_table(spark):
     df = documents(spark, ["one two"])
     assert tokenids.encode_corpus(df.union(df)).count() == 2
@@ -77,6 +84,7 @@ def test_mixture(spark, monkeypatch):
 
 def test_prefix_sums(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BUCKET_DOCUMENTS", 25)
+    monkeypatch.setattr(mixing, "PART_BUCKETS", 3)
     rows, df = sized(spark)
     got = sorted((x.source, x.before, x.n_tokens) for x in mixing.ordered_tokens(df.where("doc_id is not null and source is not null and n_tokens > 0").dropDuplicates(["doc_id"]).select("doc_id", "source", "n_tokens")).collect())
     at = {}

@@ -185,11 +185,13 @@ def test_site_lines(spark):
     rows += [("copy", "s", rows[0][2], None), ("other", "t", "Subscribe to the letter 1", None), ("null", "s", None, None), ("none", None, "Subscribe to the letter 1", None), ("empty", "s", "", None)]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "id string, site string, body string, date string, cut int")
     want = {(f"d{i}", 2) for i in range(8)} | {("copy", 2)}
-    assert {(r.id, r.line_no) for r in sitelines.standing_lines(docs).collect()} == want
-    clean = {r.id: r.clean_body for r in sitelines.cut_standing_lines(docs).collect()}
+    lines = sitelines.placed_lines(docs, docs.select("id", "site"))
+    assert {(r.id, r.line_no) for r in sitelines.standing_lines(lines).collect()} == want
+    clean = {r.id: r.clean_body for r in sitelines.cut_standing_lines(docs, lines).collect()}
     assert clean["d1"] == "Story b of the gate\nshort\n\r\nOnly here b today"
     assert (clean["null"], clean["empty"], clean["other"]) == (None, "", "Subscribe to the letter 1")
     assert len(clean) == len(rows)
-    stats = sitelines.line_statistics(docs).first()
-    assert (stats.n_bodies, stats.n_clusters) == (9, 8)
-    assert sitelines.standing_lines(docs.limit(0)).count() == 0
+    stats = sitelines.line_statistics(lines).orderBy(sitelines.F.desc("n_bodies")).first()
+    assert (stats.n_bodies, stats.n_clusters, stats.n_dates, stats.site_bodies) == (9, 8, 1, 10)
+    none = docs.limit(0)
+    assert sitelines.standing_lines(sitelines.placed_lines(none, none.select("id", "site"))).count() == 0
