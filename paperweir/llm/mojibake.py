@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from paperweir.session import materialise
 
-#: Words of each language that make its dictionary, the most frequent ones of the corpus, and chains in a row.
-DICTIONARY_WORDS, MOST_STEPS = 3_000, 3
+#: Words of each language that make its dictionary, the most frequent ones of the corpus; parts that a language is ranked in.
+DICTIONARY_WORDS, RANKING_PARTS = 3_000, 64
 #: Bytes that a step costs: decoding UTF-8 is hard to do by chance, another one-byte encoding easy.
 COST_MULTIBYTE, COST_ONE_BYTE = 1, 2
 
@@ -31,7 +31,7 @@ ONE_BYTE = [("cp1252", "cp1251"), ("cp1252", "koi8_r"), ("cp1252", "cp1250"), ("
 LOST = "�"
 _WORD = re.compile(r"[^ \t\r\n\f<>\"()\[\]{}|]*(?:[^\x00-\x7f]|&#?[0-9A-Za-z]{2,8};)[^ \t\r\n\f<>\"()\[\]{}|]*")
 _ENTITY = re.compile(r"&#?[0-9A-Za-z]{2,8};")
-_LANG = re.compile(r"<html[^>]*\blang=[\"']?([a-zA-Z]{2})")
+_LANG = re.compile(r"<html\b[^<>]*?\blang=[\"']?([a-zA-Z]{2})")
 _HIGH = re.compile(r"[^\x00-\x7f]+")
 
 
@@ -93,11 +93,14 @@ def _one_byte(word: str, read: str, written: str) -> str | None:
 
 @functools.lru_cache(maxsize=200_000)
 def candidates(word: str) -> tuple[tuple[str, int, str], ...]:
-    """(text, cost, chain) of every reading of a word; entities are read first and cost nothing of their own."""
+    """(text, cost, chain) of every reading of a word; entities are read first and cost nothing of their own.
+
+    Chains of several steps are followed to their end: each step of multibyte text leaves fewer characters.
+    """
     plain = html.unescape(word) if _ENTITY.search(word) else word
     found: dict[str, tuple[int, str]] = {}
     front = {plain: (0, "")}
-    for _ in range(MOST_STEPS):
+    while front:
         new: dict[str, tuple[int, str]] = {}
         for text, (cost, chain) in front.items():
             for codec in READ_AS:
@@ -105,8 +108,6 @@ def candidates(word: str) -> tuple[tuple[str, int, str], ...]:
                     new[t] = (cost + COST_MULTIBYTE, f"{chain}utf-8 as {codec}; ")
         found |= new
         front = new
-        if not new:
-            break
     for read, written in ONE_BYTE:
         if (t := _one_byte(plain, read, written)) is not None and t not in found:
             found[t] = (COST_ONE_BYTE, f"{written} as {read}; ")
@@ -127,7 +128,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids.append(i)
             fields.append(field)
             lost.append(LOST in text)
-            m = _LANG.search(text[:2000])
+            m = _LANG.search(text)
             langs.append(m[1].lower() if m else None)
             words.append([w for w in found if not w.isascii()])
             suspects.append([w for w in found if LOST not in w and (not w.isascii() or _ENTITY.search(w)) and candidates(w)])
@@ -197,10 +198,12 @@ class Repair:
         self.records = records
         self.extracted = materialise(records.mapInArrow(_extract, "id string, field_name string, lost boolean, lang string, words array<string>, suspects array<string>"), "words")
         counts = self.extracted.where("lang is not null").select("lang", F.explode("words").alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
-        top = counts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "word"))).where(F.col("r") <= DICTIONARY_WORDS)
-        langs = counts.groupBy("lang").agg(F.sum("n").alias("all")).orderBy(F.col("all").desc(), "lang").limit(40).select("lang")
-        # bounded: 40 languages of DICTIONARY_WORDS words each
-        self.dictionaries, alphabet = language_dictionaries(top.join(langs, "lang").select("word", "lang", "n").toPandas())
+        # ranked in parts first, so that no task orders the whole vocabulary of a language
+        rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.col("n").desc(), "word"))
+        parts = counts.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(RANKING_PARTS)))
+        top = parts.withColumn("r", rank("lang", "part")).where(F.col("r") <= DICTIONARY_WORDS).withColumn("r", rank("lang")).where(F.col("r") <= DICTIONARY_WORDS)
+        # bounded: DICTIONARY_WORDS words of each two-letter code
+        self.dictionaries, alphabet = language_dictionaries(top.select("word", "lang", "n").toPandas())
         self.suspects = self.extracted.select("id", "field_name", F.explode("suspects").alias("word"))
         distinct = self.suspects.select("word").distinct()
         self.readings = materialise(distinct.mapInPandas(_decide(self.dictionaries, alphabet), "word string, restored string, chain string, gain int"), "readings")
