@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from paperweir.session import materialise
 
-#: A whole page is short up to so many words; its template counts as repeated from so many differing texts on.
+#: What a whole page of a message is: at most so many words. Its template counts as repeated from so many differing texts on.
 SHORT_WORDS, REPEATED = 60, 8
 #: Ordinary words that a frame has at least, and the most; share of a frame's units up to which a slot left blank is residue.
 FRAME_WORDS, LONGEST_FRAME, BLANK_SHARE = 3, 80, 0.2
@@ -71,16 +71,20 @@ NOTICE = re.compile(
     r"|^(?:please |you need to )(?:enable|turn on|activate|allow)(?: your)? (?:java\s?script|scripts)\b|^you must have (?:java\s?script|scripts) (?:enabled|turned on)|^java\s?script (?:is disabled|must be|is required|is turned off)"
     r"|^this (?:video|page|site|app|map|chart|form|poll|content|gallery)[^.]{0,30} (?:requires|needs) (?:a browser with )?(?:java\s?script|scripts)\b|^to (?:read|view|see)[^.]{0,60}, turn on (?:java\s?script|scripts)|^your browser is not supported|^please (?:switch to a supported browser|upgrade (?:it|your browser))"
     r"|^loading\s?(?:…|\.\.\.)|^the (?:chart|map|video|image|poll|comments?|content|page) could not be loaded\b|^if this takes long, enable"
+    r"|^(?:ce site|cette page|ce contenu) (?:requiert|nécessite|a besoin de) javascript|^(?:diese seite|dieser inhalt) (?:benötigt|erfordert) javascript|^(?:este sitio|esta página|este conteúdo|este site) (?:requiere|necesita|requer|exige|precisa de) javascript|^(?:этот сайт|эта страница) требует javascript|^(?:tato stránka|tento web) vyžaduje javascript"
     r"|^bitte aktivieren sie javascript|^veuillez activer javascript|^active javascript para|^ative o javascript|^включите javascript|^zapněte prosím javascript|^active el javascript|^aktivieren sie javascript"
 )
 ERROR = re.compile(
     r"(?i)^(?:(?:error|http(?: error)?|fehler|erreur|erro|ошибка|chyba)\s?:?\s?[45]\d\d\b|[45]\d\d\s?[:\-–|]?\s(?:not found|forbidden|unauthorized|internal server|bad (?:gateway|request)|service (?:temporarily )?unavailable|too many|gateway|error|moved|gone)|(?:the )?page (?:not found|introuvable|could ?n[o’']t be found)"
-    r"|oops|whoops|access denied|you don[’']t have permission|that page can|something went wrong|we[’']ll be back|down for maintenance|scheduled maintenance|gateway time-?out|rate limit exceeded|your session has expired|application error|internal server error"
-    r"|error establishing|sqlstate|fatal error:|warning: invalid|traceback \(most recent|java\.lang\.|just a moment|checking your browser|verify you are human|one more step|ray [0-9a-f]{4,} ·|seite nicht gefunden|página no encontrada|página não encontrada|страница не найдена|stránka ne)"
+    r"|w?h?oops(?=\s*(?:$|[!,…:–\-]|\.{3}))|access denied|you don[’']t have permission|that page can|something went wrong|we[’']ll be back|down for maintenance|scheduled maintenance|gateway time-?out|rate limit exceeded|your session has expired|application error|internal server error"
+    r"|error establishing|sqlstate|fatal error:|warning: invalid|traceback \(most recent|java\.lang\.|just a moment(?=\s*(?:$|[!…]|\.))|checking your browser|verify you are human|one more step|ray [0-9a-f]{4,} ·|seite nicht gefunden|página no encontrada|página não encontrada|страница не найдена|stránka ne)"
 )
 # Words that make a message of a short page whatever its template says first.
 MESSAGE = re.compile(r"(?i)not found|could not be completed|try again (?:later|in a)|permission|blocked by the owner|incident id|reference #|at this location|moved or never existed|front page|were looking for|keyerror|on line \d|undefined function|connection refused|contact the administrator|error id|upgrading our servers|being updated|log in again|quota for this key|retry after|this process is automatic|cookies must be|complete the puzzle")
 
+# the same where no unit begins: match() looks at one place, so the beginning of the text is not asked for
+_NOTICE_HERE, _DEFAULTS_HERE = (re.compile(p.pattern.replace("|^", "|").replace("(?i)^", "(?i)").removeprefix("^")) for p in (NOTICE, DEFAULTS))
+
 # Shapes of variables' names and values of empty variables, looked for in slots alone.
 VARIABLE = re.compile(
     r"%\(\w+\)[a-z]\b|(?<![\w%])%(?:\d+\$)?[sd]\b|(?<!\w)%[A-Za-z_]\w*%|\{+[^{}\n]{0,60}\}+|(?<!\w)\$[a-z_]\w+|<[A-Z][A-Z_ ]+>|<[a-z]+_[a-z_]+>|(?<!\w)#[A-Za-z_]\w*#"
@@ -118,7 +122,7 @@ def code_texts(cleaned_html: str | None) -> list[str]:
 
 def is_filler(text: str) -> bool:
     """Latin filler: most words are of it, and several different ones."""
-    words = [w.lower() for w in _WORD.findall(text[:600])]
+    words = [w.lower() for w in _WORD.findall(text)]
     if len(words) < 5:
         return False
     hits = [w for w in words if w in FILLER_WORDS]
@@ -143,7 +147,7 @@ def unit_kind(unit: str) -> str | None:
         return "filler"
     if NOTICE.match(unit):
         return "notice"
-    if len(unit) <= 160 and ERROR.match(unit):
+    if ERROR.match(unit):
         return "error"
     return None
 
@@ -151,10 +155,9 @@ def unit_kind(unit: str) -> str | None:
 def flat_kind(flat: str) -> str | None:
     """What residue stands in flat text after a heading, where no sentence ends before it."""
     for m in _TRIGGER.finditer(flat):
-        unit = flat[m.start() : m.start() + 200]
-        if NOTICE.match(unit):
+        if _NOTICE_HERE.match(flat, m.start()):
             return "notice"
-        if DEFAULTS.match(unit):
+        if _DEFAULTS_HERE.match(flat, m.start()):
             return "default"
     return "filler" if "orem ipsum dolor" in flat and _LOREM.search(flat) else None
 

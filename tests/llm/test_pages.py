@@ -114,6 +114,13 @@ def test_every_multibyte_chain_round_trips(codec):
         assert text in [t for t, _, _ in mojibake.candidates(garbled)]
 
 
+def test_long_chains_are_followed_to_their_end():
+    text = "é"
+    for _ in range(5):
+        text = text.encode().decode("latin-1")
+    assert "é" in [t for t, _, _ in mojibake.candidates(text)]
+
+
 def test_no_records_to_repair(spark):
     assert mojibake.Repair(spark.createDataFrame([], "id string, field_name string, text string")).found().count() == 0
 
@@ -124,10 +131,13 @@ GOOD = [
     "A site that says scripts are required shuts out the readers of Hofmus, the librarians argued.",
     "See [the gate](https://e.test/a_b) and the *index* of 12 parts.",
     "Costs rose from 12 to 50 crowns; nothing was null and void.",
+    "Whoops and cheers rang out in the hall when the mayor came.",
+    "Oops was the name of their first album, and few bought it.",
+    "Just a moment of silence was held in Gadnel.",
 ]
 BAD = [
     "Dear {{ reader.first_name }}, this part is for you.", "In [CITY NAME] the count stood at [NUMBER].", "Hello %%FIRSTNAME%%, here it is.", "Please enable JavaScript to view the chart below.", "TK: add quote from the council here.",
-    "undefined said that the work was done by null.", "Lorem ipsum dolor sit amet, consectetur adipiscing elit.", "You must have scripts enabled to see this poll.", "Figures as of $DATE$ from $SOURCE$.", "${post.title}", "404 Not Found", "Seite nicht gefunden",
+    "Ce site requiert JavaScript pour fonctionner.", "Oops! That page is gone.", "Just a moment...", "undefined said that the work was done by null.", "Lorem ipsum dolor sit amet, consectetur adipiscing elit.", "You must have scripts enabled to see this poll.", "Figures as of $DATE$ from $SOURCE$.", "${post.title}", "404 Not Found", "Seite nicht gefunden",
 ]
 
 
