@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 #: Bound of the sample that the model is fitted on: labelled documents, in hash order of their ids.
 TRAINING_DOCUMENTS = 8_000
 #: Rounds of choosing sentences, steps of descent in each, its rate, and the pull of the weights to zero (lasso, ridge).
-ROUNDS, STEPS, RATE, LASSO, RIDGE = 3, 80, 0.1, 1.0, 0.1
+ROUNDS, STEPS, RATE, LASSO, RIDGE = 3, 80, 0.1, 2.0, 0.1
 #: Weight of a sentence that is not chosen in a document that is graded: it may be abusive as well.
 BESIDE = 0.05
 GRADES = 3
