@@ -1,12 +1,12 @@
 """Variant spellings of names typed by people, linked by a set-similarity join.
 
 Spellings are parsed to tokens; spellings with equal tokens are one key from the start. Distinct tokens are joined
-with each other on q-grams, by prefix filtering in order of rarity, and checked by edit distance. Names become
-candidates when a rare token or their weightiest one agrees; persons also when a common token agrees together with the
-first letter of another token or of its full name. Common tokens of bodies that are not the weightiest are not looked
-up. Candidates are verified by soft token similarity weighted by
-rarity, and verified links are closed to components. Names whose given name is an initial join a component only where
-the initial tells which.
+with each other on positional trigrams, by prefix filtering in order of rarity, and checked by edit distance. Names
+become candidates when a rare token of one is alike one of the other; a common token is looked up only together with
+what another token may agree with (its own alike tokens, full names, short forms, initials), so that a surname that
+very many names share makes no pairs by itself. Candidates are verified by soft token similarity weighted by rarity, and
+verified links are closed to components. Names whose given name is an initial join a component only where the initial
+tells which.
 """
 
 from __future__ import annotations
@@ -23,8 +23,13 @@ from pyspark.sql import functions as F
 from paperweir.llm.graph import components
 from paperweir.session import materialise
 
-#: Similarity of token q-grams sought before the edit distance is checked, and of whole names.
-TOKEN_SIMILARITY, NAME_SIMILARITY = 0.4, 0.6
+#: Similarity of whole names that makes a link.
+NAME_SIMILARITY = 0.6
+#: A token is common that more keys have: it is looked up with a second token, and no other common one is its misspelling.
+COMMON_KEYS = 25
+#: Letters of the grams of tokens, and how many of a token's rarest it is looked up by: one more than an edit (at most an
+#: exchange of neighbours) can change.
+GRAM, LOOKED_UP = 3, 5
 
 # Words around a name that do not belong to it (titles, roles, prepositions of bylines, legal forms).
 AFFIXES = set("""
@@ -114,6 +119,8 @@ def _given_alike(a: str, b: str) -> bool:
     a, b = sorted((a, b), key=len)
     if len(a) >= 2 and b.startswith(a) and len(b) >= len(a) + 2:
         return True
+    if a not in _FULL and b not in _FULL:
+        return False
     fa, fb = _FULL.get(a, [a]), _FULL.get(b, [b])
     return any(_one_edit(x, y) if min(len(x), len(y)) > 4 else x == y for x in fa for y in fb)
 
@@ -198,30 +205,72 @@ def _verify(common: float):
 
 
 def _alike_tokens(tokens: DataFrame) -> DataFrame:
-    """tokens(token, df) -> (token, alike): each token with those one edit away, itself included.
+    """tokens(token) -> (token, alike): each token with those one edit away or alike but for umlauts, itself included.
 
-    Prefix-filtered join on padded bigrams: grams are ordered by rarity, and a pair of the similarity sought shares one
-    among the first n - ceil(t * n) + 1 of each.
+    Prefix-filtered join on grams with their places: grams are ordered by rarity, and two tokens one edit apart share
+    one of the first LOOKED_UP of each, at the same place, or one further in the longer token.
     """
-    padded = F.concat(F.lit("^"), "token", F.lit("$"))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 1), lambda i: F.substring(padded, i, F.lit(2))))
-    long = tokens.where(F.length("token") >= 4).select("token", grams.alias("grams"))
-    each = long.select("token", F.explode("grams").alias("gram"), F.size("grams").alias("n"))
+    padded = F.concat(F.lit("^^"), "token", F.lit("$$"))
+    grams = F.transform(F.sequence(F.lit(1), F.length("token") + GRAM - 1), lambda i: F.struct(F.substring(padded, i, F.lit(GRAM)).alias("gram"), i.alias("at")))
+    each = tokens.where(F.length("token") >= 3).select("token", F.length("token").alias("len"), F.inline(grams))
     frequency = each.groupBy("gram").agg(F.count("*").alias("f"))
-    ranked = each.join(frequency, "gram").groupBy("token", "n").agg(F.sort_array(F.collect_list(F.struct("f", "gram"))).alias("order"))
-    prefix = ranked.select("token", F.explode(F.slice("order", F.lit(1), (F.col("n") - F.ceil(F.lit(TOKEN_SIMILARITY) * F.col("n")) + 1).cast("int"))).alias("o")).select("token", F.col("o.gram").alias("gram"))
-    prefix = materialise(prefix, "prefixes")
-    pairs = prefix.join(prefix.select(F.col("token").alias("alike"), "gram"), "gram").where((F.col("token") < F.col("alike")) & (F.abs(F.length("token") - F.length("alike")) <= 1)).select("token", "alike").distinct()
+    ranked = each.join(frequency, "gram").groupBy("token", "len").agg(F.slice(F.sort_array(F.collect_list(F.struct("f", "gram", "at"))), 1, LOOKED_UP).alias("first"))
+    prefix = materialise(ranked.select("token", "len", F.inline("first")).select("token", "len", "gram", "at"), "prefixes")
+    places = F.array(*[F.struct((F.col("len") + a).alias("len"), (F.col("at") + b).alias("at")) for a, b in ((0, 0), (1, 0), (1, 1))])
+    asks = prefix.select("token", "gram", F.explode(places).alias("p"), F.col("len").alias("own")).select("token", "gram", "own", "p.len", "p.at")
+    pairs = asks.join(prefix.withColumnRenamed("token", "alike"), ["gram", "len", "at"]).where((F.col("own") < F.col("len")) | (F.col("token") < F.col("alike"))).select("token", "alike").distinct()
     # an exchange of neighbours counts two for levenshtein; it leaves the same letters
     letters = lambda c: F.array_sort(F.split(F.col(c), ""))
     near = pairs.where((F.levenshtein("token", "alike", 1) >= 0) | ((F.length("token") == F.length("alike")) & (F.levenshtein("token", "alike", 2) >= 0) & (letters("token") == letters("alike"))))
-    return near.unionByName(near.select(F.col("alike").alias("token"), F.col("token").alias("alike"))).unionByName(tokens.select("token", F.col("token").alias("alike")))
+    plain = tokens.select("token", F.regexp_replace("token", _UMLAUT.pattern, "").alias("plain"))
+    same = plain.join(plain.select(F.col("token").alias("alike"), "plain"), "plain").where("token < alike").select("token", "alike")
+    both = near.unionByName(same)
+    return both.unionByName(both.select(F.col("alike").alias("token"), F.col("token").alias("alike"))).unionByName(tokens.select("token", F.col("token").alias("alike"))).distinct()
 
 
 def _written(token: Column) -> Column:
     return (F.length(token) > 1) & ~F.startswith(token, F.lit("~"))
 
 
+def _candidates(each: DataFrame, alike: DataFrame, frequency: DataFrame) -> DataFrame:
+    """each(key, body, token), alike(token, alike), frequency(token, common) -> (key_a, key_b, body) to be verified.
+
+    A key asks for the tokens alike its own, and answers with its own; where the token is common both name a second one:
+    the asking side what its other tokens may stand for, the answering side what its others may be called. Initials ask
+    only where a key has no second written-out token, so nothing is paired by a common token and a letter alone.
+    """
+    tokens = each.where(_written(F.col("token"))).join(frequency, "token")
+    known = alike.join(frequency.select(F.col("token").alias("alike"), "common"), "alike")
+    asks = tokens.drop("common").join(known, "token").select("key", "body", F.col("token").alias("own"), F.col("alike").alias("token"), "common")
+    full = F.coalesce(F.create_map(*[x for k, v in sorted(_FULL.items()) for x in (F.lit(k), F.array(*map(F.lit, v)))])[F.col("other")], F.array().cast("array<string>"))
+    letter = F.concat(F.lit("="), F.substring(F.regexp_replace("other", "^~", ""), 1, 1))
+    others = each.withColumnRenamed("token", "other")
+    written = _written(F.col("other"))
+    count = others.groupBy("key", "body").agg(F.count_if(written).alias("n_written"))
+    # what a key's other tokens stand for: tokens alike them or their full names; the beginning of a body's word; an initial
+    stand = others.where(written).select("key", "body", "other", F.explode(F.concat(F.array("other"), full)).alias("token"))
+    meant = stand.join(alike, "token").select("key", "body", "other", F.col("alike").alias("second")).unionByName(stand.select("key", "body", "other", F.col("token").alias("second")))
+    begun = others.where(F.col("body") & written).select("key", "body", "other", F.explode(F.array(letter, F.substring("other", 1, 4))).alias("second"))
+    initial = others.where(~F.col("body") & ~written).join(count.where("n_written < 2").select("key", "body"), ["key", "body"], "left_semi").select("key", "body", "other", letter.alias("second"))
+    asked = meant.unionByName(begun).unionByName(initial).distinct()
+    # what a key's other tokens may be called: themselves, their full names, their beginnings, their first letters
+    begins = F.when(F.length("other") >= 4, F.transform(F.sequence(F.lit(2), F.length("other") - 2), lambda i: F.substring("other", F.lit(1), i))).otherwise(F.array().cast("array<string>"))
+    letters = F.transform(F.concat(F.array(F.regexp_replace("other", "^~", "")), full), lambda f: F.concat(F.lit("="), F.substring(f, 1, 1)))
+    called = F.when(written, F.concat(F.array("other"), full, begins, letters)).otherwise(letters)
+    answered = others.select("key", "body", "other", F.explode(F.array_distinct(called)).alias("second"))
+    # a key of one token stands alone
+    alone = count.where("n_written = 1").join(others.where(~written).select("key", "body"), ["key", "body"], "left_anti").select("key", "body")
+    hot_asks = asks.where("common").join(asked, ["key", "body"]).where("own <> other").select("key", "body", "token", "second").unionByName(asks.where("common").join(alone, ["key", "body"], "left_semi").select("key", "body", "token", F.lit("*").alias("second")))
+    hot = tokens.where("common")
+    hot_answers = hot.join(answered, ["key", "body"]).where("token <> other").select("key", "body", "token", "second").unionByName(hot.select("key", "body", "token", F.lit("*").alias("second")))
+    a = hot_asks.unionByName(asks.where("not common").select("key", "body", "token", F.lit("").alias("second"))).distinct()
+    b = hot_answers.unionByName(tokens.where("not common").select("key", "body", "token", F.lit("").alias("second")))
+    a = materialise(a, "asks").withColumnRenamed("key", "x")
+    b = materialise(b, "answers").withColumnRenamed("key", "y")
+    met = a.join(b, ["body", "token", "second"]).where("x <> y")
+    return met.select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b"), "body").distinct()
+
+
 def link_names(spellings: DataFrame) -> DataFrame:
     """spellings(spelling) -> (spelling, entity): the same entity for all spellings of one person or body.
 
@@ -234,8 +283,7 @@ def link_names(spellings: DataFrame) -> DataFrame:
     each = keys.select("key", "body", F.explode("tokens").alias("token"))
     df = each.groupBy("token").agg(F.count("*").alias("df"))
     n = keys.count()
-    # a token is common when it stands in more than two keys in a thousand, and in more than 25
-    common = math.log1p(n / max(25.0, 0.002 * n))
+    common = math.log1p(n / COMMON_KEYS)
     rarity = materialise(df.withColumn("r", F.log1p(F.lit(float(n)) / F.col("df"))), "rarity")
     alike = materialise(_alike_tokens(rarity.where(_written(F.col("token"))).select("token")), "alike")
     # a mistyped token weighs as the commonest one an edit away, a short form as its full name
@@ -246,24 +294,7 @@ def link_names(spellings: DataFrame) -> DataFrame:
     weighed = each.join(rarity.select("token", "r"), "token").join(weight, "token").withColumn("w", F.when(~_written(F.col("token")), F.lit(0.5)).otherwise(F.col("w")))
     whole = materialise(weighed.groupBy("key", "body").agg(F.sort_array(F.collect_list(F.struct("w", "token", "r")), asc=False).alias("order")), "keys")
     whole = whole.select("key", "body", F.col("order.token").alias("tokens"), F.col("order.w").alias("weights"), F.col("order.r").alias("rarity"))
-    total = F.aggregate("weights", F.lit(0.0), lambda a, w: a + w)
-    # position i is looked up while the weight from i on reaches the similarity sought, and every rare token (an
-    # initial on the other side matches little of it); of common tokens only the first
-    after = F.aggregate(F.slice("weights", F.col("i") + 1, F.size("weights")), F.lit(0.0), lambda a, w: a + w)
-    looked = whole.select("key", "body", "weights", F.posexplode("tokens").alias("i", "token"), total.alias("total"))
-    looked = looked.where(_written(F.col("token")) & (((F.col("i") == 0) & (after >= NAME_SIMILARITY * F.col("total"))) | (F.element_at("weights", F.col("i") + 1) >= common)))
-    # persons' common tokens are also looked up together with the first letter of another token, or of its full name
-    first = lambda t: F.substring(F.regexp_replace(t, "^~", ""), 1, 1)
-    pairs = whole.where(~F.col("body")).select("key", "body", F.posexplode(F.arrays_zip("tokens", "weights")).alias("i", "t"), F.col("tokens").alias("others"))
-    pairs = pairs.where(_written(F.col("t.tokens")) & (F.col("t.weights") < common)).select("key", "body", F.col("t.tokens").alias("hot"), F.explode("others").alias("other")).where("hot <> other")
-    letters = pairs.select("key", "body", "hot", F.explode(F.array(first(F.col("other")), first(F.coalesce(full[F.col("other")], "other")))).alias("letter"))
-    hot = letters.select("key", "body", F.concat_ws("|", "hot", "letter").alias("token")).distinct()
-    hot = materialise(hot, "hot")
-    looked = materialise(looked.select("key", "body", "token"), "lookups")
-    left = looked.join(alike, "token").select(F.col("key").alias("key_a"), "body", F.col("alike").alias("token"))
-    right = looked.select(F.col("key").alias("key_b"), "body", "token")
-    together = hot.select(F.col("key").alias("key_a"), "body", "token").join(hot.select(F.col("key").alias("key_b"), "body", "token"), ["body", "token"])
-    candidates = left.join(right, ["body", "token"]).unionByName(together).where("key_a < key_b").select("key_a", "key_b", "body").distinct()
+    candidates = _candidates(materialise(each.distinct(), "tokens"), alike, rarity.select("token", (F.col("df") > COMMON_KEYS).alias("common")))
     a = whole.select(F.col("key").alias("key_a"), "body", *[F.col(c).alias(f"{c}_a") for c in ("tokens", "weights", "rarity")])
     b = whole.select(F.col("key").alias("key_b"), "body", *[F.col(c).alias(f"{c}_b") for c in ("tokens", "weights", "rarity")])
     verified = candidates.join(a, ["key_a", "body"]).join(b, ["key_b", "body"]).mapInPandas(_verify(common), "key_a string, key_b string, similarity double")
@@ -275,7 +306,7 @@ def link_names(spellings: DataFrame) -> DataFrame:
     sure = edges.join(full.withColumnRenamed("v", "a"), "a", "left_semi").join(full.withColumnRenamed("v", "b"), "b", "left_semi")
     groups = components(full, sure)
     ends = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    hung = ends.join(initial.withColumnRenamed("v", "a"), "a", "left_semi").join(groups.select(F.col("v").alias("b"), "component"), "b").groupBy(F.col("a").alias("v")).agg(F.collect_set("component").alias("all")).where(F.size("all") == 1).select("v", F.col("all")[0].alias("component"))
+    hung = ends.join(initial.withColumnRenamed("v", "a"), "a", "left_semi").join(groups.select(F.col("v").alias("b"), "component"), "b").groupBy(F.col("a").alias("v")).agg(F.min("component").alias("component"), F.max("component").alias("other")).where("component = other").select("v", "component")
     told = groups.unionByName(hung)
     # initials without a full name, or with several, hold together among themselves
     loose = materialise(initial.join(hung, "v", "left_anti"), "loose")

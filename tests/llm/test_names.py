@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import pytest
 
@@ -42,6 +43,27 @@ def test_a_common_surname_is_looked_up_with_an_initial(spark):
     assert got["X. Smith"] == got["Xenia Smith"] != got["Robert Smith"] == got["Bob Smith"]
 
 
+def test_names_of_common_tokens_alone(spark):
+    """Given name and surname are both common, mistyped, shortened or initials."""
+    given, family = ["Xenia", "Robert", "Jonathan", "Adelaide", "Wilhelmina", *(f"{a}u{b}in" for a in "bdfgkl" for b in "mnprst")], ["Smith", "Zelfekkur", "Tokfovfib", *(f"{a}o{b}wer" for a in "bdfgkl" for b in "mnprst")]
+    names_ = [f"{g} {f}" for g in given for f in family]
+    got = link(spark, [*names_, "Xenai Smith", "Bob Zelfekkur", "Jon Tokfovfib", "Robert Smiht"])
+    assert got["Xenai Smith"] == got["Xenia Smith"]
+    assert got["Bob Zelfekkur"] == got["Robert Zelfekkur"]
+    assert got["Jon Tokfovfib"] == got["Jonathan Tokfovfib"]
+    assert got["Robert Smiht"] == got["Robert Smith"]
+    assert len({got[n] for n in names_}) == len(names_)
+
+
+def test_alike_tokens_equal_brute_force(spark):
+    rnd = random.Random(2)
+    words = {"".join(rnd.choice("abc") for _ in range(rnd.randrange(2, 8))) for _ in range(400)} | {"muller", "mueller", "soereen", "soren", "aba", "aab"}
+    got = {(r.token, r.alike) for r in names._alike_tokens(spark.createDataFrame([(w,) for w in words], "token string")).collect()}
+    plain = names._UMLAUT.sub
+    want = {(a, b) for a in words for b in words if a == b or min(len(a), len(b)) >= 3 and names._one_edit(a, b) or plain("", a) == plain("", b)}
+    assert got == want
+
+
 def test_empty(spark):
     assert link(spark, []) == {}
 
