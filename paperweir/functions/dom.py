@@ -1,11 +1,18 @@
-"""A small HTML tree on the standard library's tokenizer: enough to read, change and write article markup."""
+"""A small HTML tree: enough to read, change and write article markup.
+
+Nothing here recurses, and a tree is at most MAX_DEPTH deep, so hostile nesting costs no more than other markup.
+"""
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from html import escape
-from html.parser import HTMLParser
 
+from paperweir.functions.markup import RAW, tokens
+
+#: Elements nested deeper become children of the element at this depth, as in browsers; no text is lost.
+MAX_DEPTH = 512
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Tags that stand apart as blocks in the visible text.
 BLOCK_TAGS = frozenset(
@@ -14,7 +21,6 @@ BLOCK_TAGS = frozenset(
 )
 _CLOSES_P = BLOCK_TAGS - {"td", "th", "tr", "tbody", "thead", "tfoot", "li", "dd", "dt"} | {"form", "nav", "center"}
 _ENDS = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-RAW = frozenset(("script", "style"))
 
 
 class Node:
@@ -32,11 +38,33 @@ class Node:
         self.children.append(child)
 
     def walk(self) -> Iterator[Node]:
-        """Descendant elements in document order."""
-        for c in list(self.children):
-            if isinstance(c, Node):
-                yield c
-                yield from c.walk()
+        """Descendant elements in document order, as they are when their parent is reached."""
+        stack = [iter(list(self.children))]
+        while stack:
+            for c in stack[-1]:
+                if isinstance(c, Node):
+                    yield c
+                    stack.append(iter(list(c.children)))
+                    break
+            else:
+                stack.pop()
+
+    def events(self) -> Iterator[tuple[str, Node | str]]:
+        """("text", string), ("open", element) and ("close", element) of all that is inside, in order."""
+        stack: list[tuple[Node | None, Iterator]] = [(None, iter(self.children))]
+        while stack:
+            node, rest = stack[-1]
+            for c in rest:
+                if isinstance(c, str):
+                    yield "text", c
+                    continue
+                yield "open", c
+                stack.append((c, iter(c.children)))
+                break
+            else:
+                stack.pop()
+                if node is not None:
+                    yield "close", node
 
     def find_all(self, *tags: str, where: Callable[[Node], bool] | None = None) -> list[Node]:
         return [n for n in self.walk() if (not tags or n.tag in tags) and (where is None or where(n))]
@@ -45,7 +73,7 @@ class Node:
         return next((n for n in self.walk() if (not tags or n.tag in tags) and (where is None or where(n))), None)
 
     def text(self) -> str:
-        return "".join(c if isinstance(c, str) else c.text() for c in self.children)
+        return "".join(c for kind, c in self.events() if kind == "text")
 
     def index(self) -> int:
         return next(i for i, c in enumerate(self.parent.children) if c is self)
@@ -76,67 +104,122 @@ class Node:
         return self.attrs.get("class", "").split()
 
     def inner(self, xml: bool = False) -> str:
-        return "".join((escape(c, quote=False) if self.tag not in RAW else c) if isinstance(c, str) else c.outer(xml) for c in self.children)
-
-    def outer(self, xml: bool = False) -> str:
+        """Markup of what is inside."""
+        out, raw = [], int(self.tag in RAW)
+        for kind, c in self.events():
+            if kind == "text":
+                out.append(c if raw else escape(c, quote=False))
+            elif kind == "open":
+                out.append(c._start(xml))
+                raw += c.tag in RAW
+            elif c.tag not in VOID:
+                out.append(f"</{c.tag}>")
+                raw -= c.tag in RAW
+        return "".join(out)
+
+    def _start(self, xml: bool) -> str:
         attrs = "".join(f' {k}="{escape(v).replace("&#x27;", chr(39))}"' for k, v in self.attrs.items())
-        if self.tag in VOID:
-            return f"<{self.tag}{attrs}{'/' if xml else ''}>"
-        return f"<{self.tag}{attrs}>{self.inner(xml)}</{self.tag}>"
-
+        return f"<{self.tag}{attrs}{'/' if xml and self.tag in VOID else ''}>"
 
-class _Builder(HTMLParser):
+    def outer(self, xml: bool = False) -> str:
+        return self._start(xml) if self.tag in VOID else f"{self._start(xml)}{self.inner(xml)}</{self.tag}>"
+
+
+def fold(root: Node, leave: Callable[[Node, list], object], enter: Callable[[Node], object] | None = None) -> object:
+    """A value of the tree from the leaves up: leave(element, the values of its children), strings standing for themselves.
+
+    enter(element) may give the value of an element without its children; None lets them be visited.
+    """
+    stack: list[tuple[Node, Iterator, list]] = [(root, iter(list(root.children)), [])]
+    while True:
+        node, rest, done = stack[-1]
+        for c in rest:
+            if isinstance(c, str):
+                done.append(c)
+            elif enter is not None and (value := enter(c)) is not None:
+                done.append(value)
+            else:
+                stack.append((c, iter(list(c.children)), []))
+                break
+        else:
+            stack.pop()
+            value = leave(node, done)
+            if not stack:
+                return value
+            stack[-1][2].append(value)
+
+
+class _Builder:
     def __init__(self):
-        super().__init__(convert_charrefs=True)
         self.root = Node("#root")
         self.at = self.root
-
-    def _close(self, tags: set[str], until: set[str]) -> None:
+        self.depth = 0
+        self.open: Counter[str] = Counter()  # open elements by tag: what is not open need not be looked for
+        self.once: set[str] = set()
+
+    def _leave(self, node: Node) -> None:
+        """Closes node, an open element, and all inside it."""
+        while self.at is not node:
+            self._up()
+        self._up()
+
+    def _up(self) -> None:
+        self.open[self.at.tag] -= 1
+        self.depth -= 1
+        self.at = self.at.parent
+
+    def _within(self, tags: set[str], until: set[str]) -> Node | None:
+        """The innermost open element of the tags, not looked for beyond those in until."""
+        if not any(self.open[t] for t in tags):
+            return None
         n = self.at
         while n is not self.root and n.tag not in until:
             if n.tag in tags:
-                self.at = n.parent
-                n = self.at
-                continue
+                return n
             n = n.parent
+        return None
 
-    def handle_starttag(self, tag, attrs):
-        if tag in ("html", "body", "head") and self.root.find(tag):
-            return
+    def start(self, tag: str, attrs: dict[str, str]) -> None:
+        if tag in ("html", "body", "head"):
+            if tag in self.once:
+                return
+            self.once.add(tag)
         if tag in _ENDS:
-            self._close(*_ENDS[tag])
-        if tag in _CLOSES_P:
-            n = self.at
-            while n is not self.root and n.tag not in ("p", "li", "td", "th", "div", "blockquote", "body", "article", "main", "section"):
-                n = n.parent
-            if n.tag == "p":
-                self.at = n.parent
-        node = Node(tag, {k: v if v is not None else "" for k, v in attrs})
+            tags, until = _ENDS[tag]
+            while (n := self._within(tags, until)) is not None:
+                self._leave(n)
+        if tag in _CLOSES_P and (p := self._within({"p"}, _P_STAYS)) is not None:
+            self._leave(p)
+        while self.depth >= MAX_DEPTH:
+            self._up()
+        node = Node(tag, attrs)
         self.at.append(node)
         if tag not in VOID:
             self.at = node
+            self.depth += 1
+            self.open[tag] += 1
 
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
+    def end(self, tag: str) -> None:
+        within = () if tag in _LEAVES_CELLS else ("table", "td")
+        if (n := self._within({tag}, within if tag not in within else ())) is not None:
+            self._leave(n)
 
-    def handle_endtag(self, tag):
-        n = self.at
-        while n is not self.root:
-            if n.tag == tag:
-                self.at = n.parent
-                return
-            if n.tag in ("table", "td") and tag not in ("table", "tr", "tbody", "div", "body", "html", "main", "article"):
-                return
-            n = n.parent
 
-    def handle_data(self, data):
-        self.at.append(data)
+# elements inside which a paragraph outside stays open
+_P_STAYS = frozenset("li td th div blockquote body article main section".split())
+# end tags that reach beyond a table's cell
+_LEAVES_CELLS = frozenset("table tr tbody div body html main article".split())
 
 
 def parse_html(markup: str) -> Node:
     b = _Builder()
-    b.feed(markup)
-    b.close()
+    for kind, value, attrs in tokens(markup):
+        if kind == "text":
+            b.at.append(value)
+        elif kind == "start":
+            b.start(value, attrs)
+        else:
+            b.end(value)
     return b.root
 
 
@@ -144,7 +227,13 @@ def text_for_hash(node: Node | str) -> str:
     """Visible text: text as it is, a line break one space, blocks set off by spaces."""
     if isinstance(node, str):
         return node
-    if node.tag == "br":
-        return " "
-    text = "".join(map(text_for_hash, node.children))
-    return f" {text} " if node.tag in BLOCK_TAGS else text
+    out = []
+    for kind, c in node.events():
+        if kind == "text":
+            out.append(c)
+        elif c.tag == "br":
+            out.append(" " if kind == "open" else "")
+        elif c.tag in BLOCK_TAGS:
+            out.append(" ")
+    text = "".join(out)
+    return " " if node.tag == "br" else f" {text} " if node.tag in BLOCK_TAGS else text

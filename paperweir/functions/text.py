@@ -100,6 +100,7 @@ def is_byline(c: Column) -> Column:
 
 def is_safe_markdown(c: Column) -> Column:
     """No forbidden tags, event handlers or script URLs in raw HTML."""
+    # The patterns of unsafe HTML.
     return ~(
         c.rlike(r"(?iu)<\s*/?\s*(script|style|iframe|object|embed|form|input|button|svg|canvas|link|meta)\b")
         | c.rlike(r"(?iu)\son[a-z]+\s*=")
@@ -128,6 +129,11 @@ def is_email(c: Column) -> Column:
     return c.rlike(r"^[^\s@]+@[^\s@]+$") & ~c.rlike(r"[\r\n]")
 
 
+def is_device_address(c: Column, domain: str = "kindle.com") -> Column:
+    """An address of the domain that reading devices receive at; null is none."""
+    return F.coalesce(is_email(c) & F.endswith(F.lower(c), F.lit(f"@{domain}")), F.lit(False))
+
+
 def safe_subject(c: Column, product: str) -> Column:
     """Mail subject: the product's name and the title, control characters as spaces, 200 characters at most."""
     return F.substring(F.concat(F.lit(f"{product}: "), trim_all(F.regexp_replace(c, r"[\x00-\x1f]+", " "))), 1, 200)

@@ -97,6 +97,7 @@ def is_private_address(c: Column) -> Column:
     mapped = F.regexp_extract(a, r"^::ffff:(\d+\.\d+\.\d+\.\d+)$", 1)
     four = F.when(mapped != "", mapped).otherwise(a)
     o = [F.split(four, r"\.").getItem(i).try_cast("int") for i in range(3)]
+    # Ranges of addresses that are private, local or reserved.
     private4 = (
         o[0].isin(0, 10, 127) | (o[0] >= 224) | ((o[0] == 100) & o[1].between(64, 127)) | ((o[0] == 169) & (o[1] == 254)) | ((o[0] == 172) & o[1].between(16, 31))
         | ((o[0] == 192) & o[1].isin(0, 168)) | ((o[0] == 198) & (o[1].isin(18, 19) | ((o[1] == 51) & (o[2] == 100)))) | ((o[0] == 203) & (o[1] == 0) & (o[2] == 113))

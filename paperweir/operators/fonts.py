@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperweir.functions import text as T
@@ -67,3 +67,25 @@ def expected_paragraphs(visible: DataFrame, expected: DataFrame) -> DataFrame:
     marked = v.join(e, "id", "left").withColumn("hit", F.coalesce(F.exists("prefixes", lambda p: F.contains(F.col("text"), p)), F.lit(False)))
     any_hit = marked.groupBy("id").agg(F.bool_or("hit").alias("any"))
     return marked.join(any_hit, "id").where(F.col("hit") | ~F.col("any")).select("id", "text")
+
+
+# Where paragraphs are taken from when none holds an expected beginning, the narrowest first.
+SCOPES = ("article p", '[role="article"] p', "main p", '[role="main"] p', "body p")
+
+
+def rendered_samples(paragraphs: DataFrame, expected: DataFrame, most: int = 20) -> DataFrame:
+    """paragraphs(id, text, fontFamily, scopes array<string>), expected(id, text) -> (id, fontFamily, textLength): the samples of a page.
+
+    Paragraphs of 40 characters or more that hold the first 160 of an expected one; where a page has none, those in the
+    first scope that has any. The longest ones count, most a page.
+    """
+    v = paragraphs.where(F.length("text") >= 40)
+    e = expected.groupBy("id").agg(F.collect_set(F.substring("text", 1, 160)).alias("prefixes"))
+    hit = F.coalesce(F.exists("prefixes", lambda p: F.contains(F.col("text"), p)), F.lit(False))
+    # the rank of a paragraph: 0 where it is expected, else the place of its narrowest scope
+    places = F.transform(F.array(*map(F.lit, SCOPES)), lambda s, i: F.when(F.array_contains("scopes", s), i + 1))
+    ranked = v.join(e, "id", "left").withColumn("rank", F.when(hit, F.lit(0)).otherwise(F.array_min(F.array_compact(places)))).where("rank is not null")
+    page = Window.partitionBy("id")
+    best = ranked.withColumn("least", F.min("rank").over(page)).where("rank = least")
+    length = F.length("text")
+    return best.withColumn("k", F.row_number().over(page.orderBy(length.desc(), "text", "fontFamily"))).where(F.col("k") <= most).select("id", "fontFamily", length.alias("textLength"))

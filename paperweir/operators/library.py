@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from paperweir.functions import text as T
 from paperweir.operators.ingest import visible_text
-from paperweir.schemas import MODES
+from paperweir.schemas import CITATION, GENERATED_BY, MODES
 
 
 def distinct_records(records: DataFrame) -> DataFrame:
@@ -43,6 +43,24 @@ def archive_records(sources: DataFrame, created_at: str) -> DataFrame:
     )
 
 
+def generated_records(drafts: DataFrame, created_at: str) -> DataFrame:
+    """Accepted drafts (mode, title, slug, description, body, sourceIds, citations, generatedBy) -> article records with the body beside them.
+
+    The id depends on the content, so a draft saved again is the same article; the title is trimmed, sources are named once
+    each in order, a null slug is made of the title and not yet chosen apart.
+    """
+    title = T.trim_all(F.col("title"))
+    aid = T.content_id("art", F.col("mode"), title, F.array_join("sourceIds", "\x1f"), F.sha2("body", 256))
+    rows = drafts.withColumn("aid", aid)
+    body = stored_text(T.article_content_path(F.col("mode"), F.col("aid")), F.col("body"), T.versioned_sha256(visible_text(F.col("body"))))
+    # structs by the names of their fields, whichever a draft has
+    named = lambda c, kind: (F.from_json(F.to_json(c), kind) if c in drafts.columns else F.lit(None).cast(kind)).alias(c)
+    return rows.select(
+        F.lit(1).alias("schemaVersion"), F.col("aid").alias("id"), "mode", title.alias("title"), F.coalesce(F.col("slug") if "slug" in drafts.columns else F.lit(None), T.slugify(title)).alias("slug"), (F.col("description") if "description" in drafts.columns else F.lit(None)).cast("string").alias("description"),
+        F.array_distinct("sourceIds").alias("sourceIds"), body.alias("body"), named("citations", f"array<{CITATION}>"), F.lit(created_at).alias("createdAt"), F.lit(None).cast("struct<sourceId:string,sourceTextHash:string,verifiedAt:string>").alias("archiveVerification"), named("generatedBy", GENERATED_BY), F.col("body").alias("contentText"),
+    )
+
+
 def _free_slugs(pdf: pd.DataFrame) -> pd.DataFrame:
     """Slugs of one stem in the order of saving; the smallest free suffix from 2 on."""
     taken: set[str] = set()
@@ -62,8 +80,8 @@ def choose_slugs(articles: DataFrame) -> DataFrame:
     """articles(id, base, createdAt) -> (id, slug): a taken base gets the smallest free suffix, in order of saving.
 
     Where no base looks like another one with a number, the suffix is the place among equal bases: a window with its
-    partial sort by (base, createdAt), no Python. Only stems where bases interact (x and x-2) are resolved one by one;
-    such a stem is bounded by what one title's numbered variants are.
+    partial sort by (base, createdAt), no Python. Only stems where bases interact (x and x-2) are resolved one by one, by
+    one task a stem, since each choice depends on all before; a title that very many articles share makes that task long.
     """
     from pyspark.sql import Window
 

@@ -75,7 +75,8 @@ class MomentDictionary:
             on = [values[k].eqNullSafe(old[k]) for k in KEYS]
             values = values.join(old, on[0] & on[1] & on[2], "left_anti")
         parse_distinct(values).write.mode("append").option("compression", "zstd").parquet(self.path)
-        return self.spark.read.parquet(self.path)
+        # two runs at once may both have added a value; they read it alike
+        return self.spark.read.parquet(self.path).dropDuplicates(KEYS)
 
 
 def located_values(sources: DataFrame, web_articles: DataFrame, sites: DataFrame) -> DataFrame:
@@ -95,8 +96,12 @@ def normalise_moments(located: DataFrame, dictionary: MomentDictionary) -> DataF
     Nulls and blanks in raw stay rows with a null instant. Ties and repeated rows keep their number. Two values differ
     where raw, zone or order differ, nulls being equal.
     """
-    known = dictionary.update(located.select(*KEYS))
+    blank = F.coalesce(F.trim("raw") == "", F.lit(True))
+    known = dictionary.update(located.where(~blank).select(*KEYS))
     same = [F.coalesce(F.col(k), F.lit("")) for k in ("zone", "date_order")]
-    left = located.drop("utc_ms").withColumns({"_z": same[0], "_o": same[1]})
+    rows = located.drop("utc_ms")
+    left = rows.where(~blank).withColumns({"_z": same[0], "_o": same[1]})
     right = known.select("raw", same[0].alias("_z"), same[1].alias("_o"), "utc_ms")
-    return left.join(right, ["raw", "_z", "_o"], "left").drop("_z", "_o")
+    read = left.join(right, ["raw", "_z", "_o"], "left").select(*rows.columns, "utc_ms")
+    # blank values, of which there may be very many, are not sent through the join
+    return read.unionByName(rows.where(blank).withColumn("utc_ms", F.lit(None).cast("long")))

@@ -141,3 +141,31 @@ def changes(planned: DataFrame, existing: DataFrame, overwrite: bool = False) ->
     if not overwrite and (bad := d.where("status = 'conflict'").select("path").limit(5).collect()):
         raise FileExistsError(f"export would overwrite {', '.join(r.path for r in bad)}")
     return planned.join(d.where("status <> 'unchanged'").select("path"), "path", "left_semi")
+
+
+def plan_notes(articles: DataFrame, bodies: DataFrame, assets: DataFrame, inbox: str, template: str, tags: tuple[str, ...] = (), attachments: str = "attachments", custom: dict[str, str] | None = None) -> DataFrame:
+    """The files of a vault export: (article_id, path, contents binary) of each article's note and images.
+
+    articles with the facts of their sources (authors, published, urls, canonicalUrl), bodies(id, body) rendered Markdown,
+    assets(target, mediaType, contents). Links to images that are taken up point to their files in the vault.
+    """
+    own = bodies.select(F.col("id").alias("article_id"), "body")
+    refs = own.select("article_id", F.explode(image_references(F.col("body"))).alias("r")).select("article_id", "r.start", "r.target")
+    planned = plan_assets(refs, assets, articles.select(F.col("id").alias("article_id"), "slug").distinct(), attachments)
+    name = articles.select(F.col("id").alias("article_id"), F.concat_ws("/", F.lit(inbox), F.concat(note_name(template), F.lit(".md"))).alias("path"))
+    front = frontmatter(articles, tags, custom).withColumnRenamed("id", "article_id")
+    notes = rewrite_images(own, planned).join(name, "article_id").join(front, "article_id").select("article_id", "path", F.concat("frontmatter", "body").cast("binary").alias("contents"))
+    images = planned.where("rejected is null").join(assets.select("target", "contents"), "target").select("article_id", F.col("vault_path").alias("path"), "contents")
+    return notes.unionByName(images)
+
+
+def delivered(planned: DataFrame, vault_name: str, inbox: str, at: str) -> DataFrame:
+    """Export records of the notes of a vault export that was written."""
+    notes = planned.where(F.startswith("path", F.lit(f"{inbox}/")) & F.endswith("path", F.lit(".md")))
+    eid = T.content_id("exp", F.col("article_id"), F.lit("vault"), F.sha2("contents", 256))
+    return notes.withColumn("eid", eid).select(
+        F.lit(1).alias("schemaVersion"), F.col("eid").alias("id"), F.col("article_id").alias("articleId"), F.lit("markdown").alias("format"),
+        F.struct(F.lit("obsidian").alias("type"), F.lit(vault_name).alias("vaultName"), F.col("path").alias("notePath")).alias("destination"), F.lit("delivered").alias("status"),
+        F.struct(F.concat_ws("/", T.export_directory(F.col("article_id"), F.col("eid")), F.lit("article.md")).alias("path"), F.lit("text/markdown").alias("mediaType"), F.concat(F.lit("sha256:"), F.sha2("contents", 256)).alias("contentHash"), F.octet_length("contents").cast("long").alias("byteLength")).alias("artifact"),
+        F.lit(at).alias("createdAt"), F.struct(F.lit(at).alias("attemptedAt"), F.lit(at).alias("deliveredAt")).alias("delivery"),
+    )

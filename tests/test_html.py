@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 
@@ -93,3 +94,43 @@ def test_odd_markup():
         html, text = clean_content(bad, "https://e.test")
         assert text == normalize(re.sub(r"\s+", " ", text))
         assert isinstance(html, str)
+
+
+HOSTILE = {
+    "deep": "<div>" * 10_000 + "x", "deep inline": "<span>" * 10_000 + "<p>x</p>" * 2_000, "quotes": '<a href="' * 10_000, "mixed quotes": "<a b=\"<a c='" * 5_000 + ">", "comments": "<!--" * 10_000, "less": "<" * 20_000, "ends": "</a" * 10_000,
+    "declarations": "<!a" * 10_000, "scripts": "<script>" + "</script " * 10_000, "open tags": "<a b" * 10_000, "cells": "<p><table><td>" + "<span>" * 5_000 + "</p>" * 5_000, "lists": "<ul><li>" * 5_000, "emphasis": "<b>" * 2_000 + "x" + "</b>" * 2_000,
+}
+HOSTILE_MARKDOWN = {
+    "images in links": "[![a](b)" * 2_000, "brackets": "[" * 20_000, "half links": "[a](" * 10_000, "marks": "*a " * 10_000, "mixed marks": "**a*_b" * 5_000, "unclosed marks": "_a " * 5_000 + "a* " * 5_000, "ticks": "".join("`" * (k % 99 + 1) + "a" for k in range(2_000)), "tags": "<a" * 20_000,
+    "quotes": ">" * 5_000 + "x", "lists": "".join(" " * (2 * k) + "- a\n" for k in range(200)), "heading": "# " + " " * 20_000 + "x", "blanks": "- a\n" + "\n" * 10_000 + "- b", "titles": '[a](b "c' * 10_000, "fence": "``` " + " " * 20_000 + "`", "image starts": "![" * 20_000 + "](x)",
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_hostile_markup_takes_linear_time(name):
+    began = time.perf_counter()
+    html, _ = clean_content(HOSTILE[name], "https://e.test")
+    markdown_from_html(html)
+    extract("https://e.test", HOSTILE[name])
+    assert time.perf_counter() - began < 5
+
+
+@pytest.mark.parametrize("name", HOSTILE_MARKDOWN)
+def test_hostile_markdown_takes_linear_time(name):
+    began = time.perf_counter()
+    visible_text(HOSTILE_MARKDOWN[name])
+    image_references(HOSTILE_MARKDOWN[name])
+    assert time.perf_counter() - began < 2
+
+
+def test_deep_nesting_loses_no_text():
+    assert normalize(text_for_hash(parse_html("<div>a" * 2_000))).count("a") == 2_000
+    assert visible_text("> " * 300 + "deep").endswith("deep")
+
+
+@pytest.mark.parametrize(
+    ("md", "html"),
+    [("***a***", "<em><strong>a</strong></em>"), ("*a **b** c*", "<em>a <strong>b</strong> c</em>"), ("[a *b](c) d*", '<a href="c">a *b</a> d*'), ("[![a](b)](c)", '<a href="c"><img src="b" alt="a"></a>'), ("a_b_c", "a_b_c"), ("`a*` *b*", "<code>a*</code> <em>b</em>"), ("~~x~~ ~y~", "<del>x</del> ~y~"), ("a  \nb", "a<br>b"), ("[a](<b c> \"t\")", '<a href="b c">a</a>'), ("[a [b](c)](d)", '[a <a href="c">b</a>](d)')],
+)
+def test_spans(md, html):
+    assert to_html(md) == f"<p>{html}</p>"
