@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paperweir.plans import library, timestamps
+from paperweir.plans import fields, library, timestamps  # noqa: F401  fields registers with library
 
 QUERIES = library.QUERIES | timestamps.QUERIES
 SQL = library.SQL | timestamps.SQL

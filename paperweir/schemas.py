@@ -3,6 +3,7 @@
 STORED_TEXT = "struct<path:string,mediaType:string,contentHash:string,textHash:string,byteLength:bigint>"
 STORED_FILE = "struct<path:string,mediaType:string,contentHash:string,byteLength:bigint>"
 CITATION = "struct<id:string,sourceId:string,locator:struct<url:string,heading:string,paragraph:int,fragment:string>,quote:string,note:string>"
+GENERATED_BY = "struct<provider:string,model:string,thinkingLevel:string,sessionId:string,generatedAt:string>"
 SOURCE = (
     "schemaVersion int, id string, kind string, title string, description string, authors array<string>, language string, publishedAt string, "
     f"capturedAt string, origin struct<locator:string,canonicalUrl:string>, content {STORED_TEXT}, rawCapture {STORED_FILE}, assets array<{STORED_FILE}>, "
@@ -12,7 +13,7 @@ ARTICLE = (
     "schemaVersion int, id string, mode string, title string, slug string, description string, authors array<string>, language string, sourceIds array<string>, "
     f"body {STORED_TEXT}, citations array<{CITATION}>, createdAt string, supersedesArticleId string, "
     "archiveVerification struct<sourceId:string,sourceTextHash:string,verifiedAt:string>, "
-    "generatedBy struct<provider:string,model:string,thinkingLevel:string,sessionId:string,generatedAt:string>, "
+    f"generatedBy {GENERATED_BY}, "
     "presentation struct<sourceFontStyle:string,bodyFontSizeAdjustment:int,imageScalePercent:int>"
 )
 EXPORT = (

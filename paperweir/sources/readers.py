@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import os
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperweir.functions import text as T
+from paperweir.operators.vault import parse_frontmatter
 from paperweir.schemas import ARTICLE, EXPORT, SOURCE
 
 
@@ -24,12 +28,34 @@ def read_files(spark: SparkSession, path: str, glob: str = "*.{md,markdown,txt}"
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path).select("path", "content")
 
 
+def read_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, contents) of the files under a folder that all executors share, paths relative to it; hidden files are left out."""
+    root = os.path.realpath(folder.removeprefix("file://"))
+    if not any(not f.startswith(".") for _, _, files in os.walk(root) for f in files):
+        return spark.createDataFrame([], "path string, contents binary")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"file://{root}")
+    return files.select(F.url_decode(F.regexp_replace(F.substring(F.regexp_replace("path", "^file:/+", "/"), len(root) + 2, 1 << 30), r"\+", "%2B")).alias("path"), F.col("content").alias("contents"))
+
+
 def read_markdown(spark: SparkSession, path: str, slugs: list[str] | None = None) -> DataFrame:
-    """(slug, text) of Markdown files, one row each, by slug; slugs None or empty for all."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(path).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.md$", 1).alias("slug"), F.col("value").alias("text"))
+    """(slug, text) of Markdown files, one row each, by slug; slugs None or empty for all.
+
+    The slug is that of the frontmatter, else the file's stem; a file with an unsafe one is left out.
+    """
+    files = spark.read.option("pathGlobFilter", "*.md").text(path, wholetext=True).select(article_slug(F.regexp_extract(F.input_file_name(), r"([^/]+)\.md$", 1), F.col("value")).alias("slug"), F.col("value").alias("text")).where(T.is_safe_slug(F.col("slug")))
     return (files.where(F.col("slug").isin(*slugs)) if slugs else files).orderBy("slug")
 
 
+def article_slug(stem: Column, text: Column) -> Column:
+    """The slug that the frontmatter of a text states, else the stem of its file."""
+    return F.coalesce(F.nullif(F.try_element_at(parse_frontmatter(text), F.lit("slug")), F.lit("")), stem)
+
+
+def page_list(texts: DataFrame) -> DataFrame:
+    """texts(slug, text) -> (slug, title): what a list of pages shows; a text without a title shows its slug."""
+    return texts.select("slug", F.coalesce(F.nullif(F.try_element_at(parse_frontmatter(F.col("text")), F.lit("title")), F.lit("")), F.col("slug")).alias("title"))
+
+
 def find_record(records: DataFrame, record_id: str) -> DataFrame:
     """The record of an id; the filter reaches the scan."""
     return records.where(F.col("id") == record_id)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from paperweir.operators.ingest import ingest_text
 from paperweir.operators.library import source_records
+from paperweir.sources.writers import exists
 
 
 def stream_sources(spark: SparkSession, folder: str, schema: str, captured_at: str, delay: str = "1 day") -> DataFrame:
@@ -24,10 +25,8 @@ def write_stream(sources: DataFrame, table: str, checkpoint: str):
     """Append the stream to a table, each id once over all batches; a batch that is tried again writes nothing twice."""
 
     def batch(df: DataFrame, _: int) -> None:
-        import os
-
         once = df.dropDuplicates(["id"])
-        if os.path.exists(table.removeprefix("file://")):
+        if exists(df.sparkSession, table):
             once = once.join(df.sparkSession.read.parquet(table).select("id"), "id", "left_anti")
         once.write.mode("append").parquet(table)
 

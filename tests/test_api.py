@@ -26,14 +26,58 @@ def test_library(spark, tmp_path):
         assert lib.export(fmt).where("artifact is not null").count() == 5
     with pytest.raises(ValueError, match="Unsupported"):
         lib.export("pdf")
-    c = "id string, mode string, title string, body string, sourceIds array<string>, citations array<struct<id:string,sourceId:string,quote:string>>"
+    c = "id string, mode string, title string, body string, sourceIds array<string>, citations array<struct<id:string,sourceId:string,quote:string>>, slug string, generatedBy struct<provider:string,model:string,thinkingLevel:string,sessionId:string,generatedAt:string>"
+    by = ("p", "m", None, None, NOW)
     drafts = [
-        ("ok", "digest", "T", "x [^cite_1]", [sid], [("cite_1", sid, "q")]),
-        ("bad", "archive", " ", "x [^cite_2]", ["src_x"], [("cite_1", sid, None), ("cite_1", sid, None)]),
+        ("ok", "digest", " Notes ", "x [^cite_1]", [sid, sid], [("cite_1", sid, "q")], None, by),
+        ("named", "synthesis", "Other", "y [^cite_1]", [sid], [("cite_1", sid, None)], "own-slug", by),
+        ("taken", "synthesis", "Other", "z [^cite_1]", [sid], [("cite_1", sid, None)], "notes", by),
+        ("bad", "archive", " ", "x [^cite_2]", ["src_x"], [("cite_1", sid, None), ("cite_1", sid, None)], "Un safe", by),
     ]
     good, bad = lib.save_generated(spark.createDataFrame(drafts, c))
-    assert [r.id for r in good.collect()] == ["ok"]
-    assert len(bad.first().reasons) == 7
+    assert {(r.title, r.slug, tuple(r.sourceIds)) for r in good.collect()} == {("Notes", "notes-2", (sid,)), ("Other", "own-slug", (sid,))}
+    assert {r.id: len(r.reasons) for r in bad.collect()} == {"taken": 1, "bad": 8}
+    assert lib.save_generated(spark.createDataFrame(drafts[:1], c))[0].count() == 0
+    aid = good.where("slug = 'own-slug'").first().id
+    assert lib.load(aid).first().contentText == "y [^cite_1]"
+    assert lib.load(sid).first().title == "Notes"
+    assert lib.verify().count() == 0
+    with pytest.raises(KeyError):
+        lib.load("art_none")
+    html = lib.export("html").where(f"id = '{aid}'").first().artifact
+    assert ">[1]</a>" in html
+    assert lib.publish("markdown").count() == 7
+    assert lib.publish("markdown").count() == 0
+    assert lib.table("artifacts").count() == 7
+    (tmp_path / "vault").mkdir()
+    sent = lib.deliver_to_vault(str(tmp_path / "vault"), "V", "inbox", "{{slug}}")
+    assert {r.destination.notePath for r in sent.collect()} == {f"inbox/{r.slug}.md" for r in lib.table("articles").collect()}
+    assert "[^cite_1]: " in (tmp_path / "vault/inbox/own-slug.md").read_text()
+    (tmp_path / "vault/inbox/own-slug.md").write_text("edited")
+    with pytest.raises(FileExistsError, match="own-slug"):
+        lib.deliver_to_vault(str(tmp_path / "vault"), "V", "inbox", "{{slug}}")
+    assert (tmp_path / "vault/inbox/own-slug.md").read_text() == "edited"
+    lib.deliver_to_vault(str(tmp_path / "vault"), "V", "inbox", "{{slug}}", overwrite=True)
+    assert "edited" not in (tmp_path / "vault/inbox/own-slug.md").read_text()
+
+
+def test_what_was_altered_in_store_is_found(spark, tmp_path):
+    lib = Library(spark, f"file://{tmp_path}/lib", NOW)
+    saved, _ = lib.ingest(spark.createDataFrame([("text", "One.", "A"), ("text", "Two.", "B")], "kind string, value string, label string"))
+    aid = saved.where("title = 'A'").first().id
+    changed = [(r.id, r.body + "x" if r.id == aid else r.body) for r in lib.table("contents").collect()]
+    spark.createDataFrame(changed, "id string, body string").write.mode("overwrite").parquet(f"file://{tmp_path}/lib/contents")
+    assert [r.id for r in lib.verify().collect()] == [aid]
+    with pytest.raises(ValueError, match="content hash"):
+        lib.load(aid)
+    assert {r.id for r in lib.export("html").where("artifact is null").collect()} == {aid}
+
+
+def test_no_library_in_a_working_tree(spark, tmp_path):
+    (tmp_path / ".git").mkdir()
+    with pytest.raises(ValueError, match="Git"):
+        Library(spark, f"file://{tmp_path}/lib", NOW)
+    assert Library(spark, f"file://{tmp_path}/lib", NOW, allow_git=True).table("exports").count() == 0
 
 
 def test_config(tmp_path):

@@ -202,21 +202,99 @@ def test_exports(spark):
     epub = export.epub_export(a, bodies, s)
     data = bytes(epub.first().epub)
     assert data == bytes(epub.first().epub)
-    v = epub.select(export.validate_epub(F.col("epub")).alias("v")).first().v
-    assert (v.problem, v.manifestItems, v.spineItems, len(v.files)) == (None, 3, 1, 6)
+    v = export.validate_epub(epub).first()
+    assert (v.problem, v.manifestItems, v.spineItems, v.embeddedAssets, len(v.files)) == (None, 3, 1, 0, 6)
     assert zipfile.ZipFile(BytesIO(data)).namelist()[0] == "mimetype"
-    assert export.check_epub(b"x" + data[1:])[0] == "does not start with a ZIP header"
-    assert export.check_epub(None)[0]
-    out = BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
-        z.writestr("mimetype", "application/epub+zip")
-    assert export.check_epub(out.getvalue())[0] == "missing META-INF/container.xml"
     rec = export.export_records(export.markdown_export(a, bodies, s), "markdown", NOW)
     assert checks.check(rec.withColumn("delivery", F.lit(None).cast("struct<confirmedAt:string,confirmationMethod:string,deliveredAt:string>")), checks.export_rules()).first().violations == []
     p = export.delivery_preview(rec, a, "reader@kindle.com", "me@mail.test").first()
     assert (p.recipient, p.filename) == ("r*****@kindle.com", "say-hi.markdown")
 
 
+def repacked(data, change=(), without=(), stored=True):
+    """The package with parts changed or left out."""
+    out = BytesIO()
+    with zipfile.ZipFile(BytesIO(data)) as z, zipfile.ZipFile(out, "w") as w:
+        for name in z.namelist():
+            if name not in without:
+                w.writestr(name, dict(change).get(name, z.read(name)), zipfile.ZIP_STORED if name == "mimetype" and stored else zipfile.ZIP_DEFLATED)
+    return out.getvalue()
+
+
+def test_packages_with_images_and_faults(spark):
+    a, s = frames(spark, [article()], [source()])
+    bodies = spark.createDataFrame([(article()["id"], "![x](https://e.test/p.png) ![y](q.jpg) ![x](https://e.test/p.png)\n\n```\n![z](z.png)\n```\n")], "id string, body string")
+    assets = spark.createDataFrame([("https://e.test/p.png", "image/png", b"\x89PNG..."), ("q.jpg", "text/plain", b"1"), ("z.png", "image/png", b"2")], "target string, mediaType string, contents binary")
+    epub = export.epub_export(a, bodies, s, assets=assets)
+    data = bytes(epub.first().epub)
+    v = export.validate_epub(epub).first()
+    assert (v.problem, v.manifestItems, v.embeddedAssets) == (None, 4, 1)
+    with zipfile.ZipFile(BytesIO(data)) as z:
+        assert z.read("EPUB/assets/001-p.png") == b"\x89PNG..."
+        assert z.read("EPUB/article.xhtml").count(b'src="assets/001-p.png"') == 2
+        opf = z.read("EPUB/package.opf")
+    faults = {
+        "cannot be read": data[: len(data) // 2], "first entry": repacked(data, stored=False), "required entry EPUB/nav.xhtml": repacked(data, without=["EPUB/nav.xhtml"]), "not that of a package": repacked(data, {"mimetype": b"text/plain"}.items()),
+        "malformed XML in EPUB/nav.xhtml": repacked(data, {"EPUB/nav.xhtml": b"<nav>"}.items()), "another package": repacked(data, {"META-INF/container.xml": b"<container/>"}.items()), "tell its title": repacked(data, {"EPUB/package.opf": opf.replace(b"dc:title", b"dc:name")}.items()),
+        "is the navigation": repacked(data, {"EPUB/package.opf": opf.replace(b'properties="nav"', b"")}.items()), "spine is empty": repacked(data, {"EPUB/package.opf": opf.replace(b'<itemref idref="article"/>', b"")}.items()),
+        "not there: EPUB/assets/001-p.png": repacked(data, without=["EPUB/assets/001-p.png"]), "item that is not there: lost": repacked(data, {"EPUB/package.opf": opf.replace(b'idref="article"', b'idref="lost"')}.items()), "cannot be read as": None, "archive:": b"",
+    }
+    got = {r.id: r.problem for r in export.validate_epub(spark.createDataFrame(list(faults.items()), "id string, epub binary")).collect()}
+    assert all(k in got[k] for k in faults), got
+
+
+def test_a_changed_archive_is_not_exported(spark):
+    a = spark.createDataFrame([("x", "archive", "sha256:1"), ("y", "archive", "sha256:2"), ("z", "digest", "sha256:3")], "id string, mode string, h string").select("id", "mode", F.struct(F.col("h").alias("textHash")).alias("body"))
+    made = spark.createDataFrame([("x", "X", "sha256:1"), ("y", "Y", "sha256:0"), ("z", "Z", None)], "id string, artifact string, text_hash string")
+    assert {r.id: r.artifact for r in export.faithful(a, made).collect()} == {"x": "X", "y": None, "z": "Z"}
+
+
+def test_vault_writes(spark, tmp_path):
+    files = lambda *rows: spark.createDataFrame(list(rows), "path string, contents binary")
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/old.md").write_text("old")
+    tree = lambda: {str(p.relative_to(tmp_path)): p.read_text() for p in tmp_path.rglob("*") if p.is_file()}
+    before = tree()
+    write = writers.VaultWrite(files(("in/old.md", b"new"), ("at/a b.md", b"1")), str(tmp_path)).apply()
+    assert (tmp_path / "in/old.md").read_text() == "new"
+    write.rollback()
+    assert tree() == before
+    write = writers.VaultWrite(files(("in/old.md", b"new"), ("at/a b.md", b"1")), str(tmp_path)).apply()
+    write.commit()
+    assert tree() == {"in/old.md": "new", "at/a b.md": "1"}
+    assert {(r.path, bytes(r.contents)) for r in readers.read_tree(spark, str(tmp_path)).collect()} == {("in/old.md", b"new"), ("at/a b.md", b"1")}
+    (tmp_path / "dir").mkdir()
+    for bad in ("dir", "../out.md"):
+        with pytest.raises(Exception, match="not a file of the vault"):
+            writers.VaultWrite(files(("in/old.md", b"newer"), (bad, b"x")), str(tmp_path)).apply()
+        assert tree() == {"in/old.md": "new", "at/a b.md": "1"}
+
+
+def test_manifests_and_slugs(spark, tmp_path):
+    rec = spark.createDataFrame([("src_1", "é", None)], "id string, title string, kind string")
+    writers.write_manifests(rec, str(tmp_path), F.concat(F.lit("sources/"), F.col("id")))
+    writers.write_manifests(rec, str(tmp_path), F.concat(F.lit("sources/"), F.col("id")))
+    assert (tmp_path / "sources/src_1/manifest.json").read_text() == '{\n  "id": "src_1",\n  "title": "é"\n}\n'
+    with pytest.raises(Exception, match="file exists"):
+        writers.write_manifests(rec.withColumn("title", F.lit("x")), str(tmp_path), F.concat(F.lit("sources/"), F.col("id")))
+    notes = tmp_path / "notes"
+    notes.mkdir()
+    (notes / "file.md").write_text('---\nslug: "own-slug"\ntitle: "T"\n---\nx')
+    (notes / "plain.md").write_text("x")
+    (notes / "Not Safe.md").write_text("x")
+    texts = readers.read_markdown(spark, str(notes))
+    assert {(r.slug, r.title) for r in readers.page_list(texts).collect()} == {("own-slug", "T"), ("plain", "plain")}
+    assert readers.read_markdown(spark, str(notes), ["plain"]).count() == 1
+
+
+def test_rendered_samples(spark):
+    long = "x" * 40
+    p = spark.createDataFrame([("a", long + "1", "Inter", ["body p"]), ("a", long + "22", "Lora", ["article p", "body p"]), ("a", "short", "Lora", ["article p"]), ("b", long + "hit", "Inter", ["body p"]), ("b", long, "Lora", ["article p"]), ("c", long, "Lora", [])], "id string, text string, fontFamily string, scopes array<string>")
+    e = spark.createDataFrame([("b", "hit")], "id string, text string")
+    assert {(r.id, r.fontFamily, r.textLength) for r in fonts.rendered_samples(p, e).collect()} == {("a", "Lora", 42), ("b", "Inter", 43)}
+    assert fonts.rendered_samples(p.withColumn("text", F.lit(long)), e, most=1).where("id = 'a'").count() == 1
+
+
 def test_empty_tables(spark):
     a, s, e = (spark.createDataFrame([], x) for x in (ARTICLE, SOURCE, EXPORT))
     bodies = spark.createDataFrame([], "id string, body string")
