@@ -307,16 +307,20 @@ class Residue:
         return counted.where((F.col("fillings") >= REPEATED) & (F.col("records") >= REPEATED)).select("key", "place", "n_filled")
 
     def unfilled(self) -> DataFrame:
-        """(id, field_name, kind, template) of units with a slot that holds a variable's name, a default or a blank."""
-        units = self.judged.select("id", "field_name", F.inline("frames"))
+        """(id, field_name, kind, key) of units with a slot that holds a variable's name, a default or a blank.
+
+        Units move with the key of their frame and what fills its places, not with their words.
+        """
+        held = F.transform("fills", lambda f: F.struct(f["place"].alias("place"), f["kind"].alias("kind")))
+        units = self.judged.select("id", "field_name", F.inline("frames")).select("id", "field_name", "key", held.alias("fills"))
         here = F.try_element_at(F.filter("fills", lambda f: f["place"] == F.col("place")), F.lit(1))["kind"]
-        placed = units.join(self.slots(), "key").select("id", "field_name", "key", "place", "frame", "n_filled", here.alias("held"))
+        placed = units.join(self.slots(), "key").select("id", "field_name", "key", "place", "n_filled", here.alias("held"))
         open_ = materialise(placed.where(F.col("held").isNull() | (F.col("held") != FILLED)), "open")
         blanks = open_.where("held is null").groupBy("key", "place", "n_filled").agg(F.count("*").alias("n"))
         rare = blanks.where(F.col("n") <= BLANK_SHARE * (F.col("n") + F.col("n_filled"))).select("key", "place")
         kind = F.when(F.col("held") == NAMED, "placeholder").otherwise("default")
-        named = open_.where("held is not null").select("id", "field_name", kind.alias("kind"), F.col("frame").alias("template"))
-        blank = open_.where("held is null").join(rare, ["key", "place"], "left_semi").select("id", "field_name", F.lit("blank").alias("kind"), F.col("frame").alias("template"))
+        named = open_.where("held is not null").select("id", "field_name", kind.alias("kind"), "key")
+        blank = open_.where("held is null").join(rare, ["key", "place"], "left_semi").select("id", "field_name", F.lit("blank").alias("kind"), "key")
         return named.unionByName(blank)
 
     def found(self) -> DataFrame:
@@ -327,5 +331,8 @@ class Residue:
 
     def templates(self) -> DataFrame:
         """(kind, template, n_records): the aligned templates whose slots or texts are residue."""
-        units = self.judged.select("id", F.inline("units")).unionByName(self.unfilled().select("id", "kind", "template"))
+        slots = self.unfilled()
+        wanted = slots.select("key").distinct()
+        frames = self.judged.select(F.inline("frames")).select("key", F.col("frame").alias("template")).join(wanted, "key", "left_semi").dropDuplicates(["key"])
+        units = self.judged.select("id", F.inline("units")).unionByName(slots.join(frames, "key").select("id", "kind", "template"))
         return units.groupBy("kind", "template").agg(F.count_distinct("id").alias("n_records"))
