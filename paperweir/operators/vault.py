@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import posixpath
 import re
+from urllib.parse import unquote, urlsplit
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -97,9 +99,13 @@ def number_assets(references: DataFrame) -> DataFrame:
 
 
 def plan_assets(references: DataFrame, assets: DataFrame, slugs: DataFrame, folder: str = "attachments") -> DataFrame:
-    """Numbered targets with fetched assets(target, mediaType, contents) -> export name, vault path, and why one is refused."""
+    """Numbered targets with fetched assets(target, mediaType, contents) -> export name, vault path, and why one is refused.
+
+    Assets with an article_id are those of that article alone, as local files are.
+    """
     ext = T.image_extension(F.col("mediaType"))
-    j = number_assets(references).join(assets.select("target", "mediaType", F.octet_length("contents").alias("bytes")), "target", "left").join(slugs, "article_id")
+    on = ["article_id", "target"] if "article_id" in assets.columns else ["target"]
+    j = number_assets(references).join(assets.select(*on, "mediaType", F.octet_length("contents").alias("bytes")), on, "left").join(slugs, "article_id")
     name = F.concat(F.lpad(F.col("n").cast("string"), 3, "0"), F.lit("-"), asset_stem(F.col("target")), ext)
     reason = F.when(F.col("mediaType").isNull(), "not fetched").when(ext.isNull(), "unsupported media type").when(F.col("bytes") > MAX_ASSET_BYTES, "too large")
     return j.select("article_id", "target", "n", name.alias("export_name"), F.concat_ws("/", F.lit(folder), "slug", name).alias("vault_path"), reason.alias("rejected"))
@@ -121,9 +127,34 @@ def splice(md: pd.Series, targets: pd.Series) -> pd.Series:
     return pd.Series([one(x, t) for x, t in zip(md, targets, strict=True)])
 
 
-def rewrite_images(bodies: DataFrame, planned: DataFrame) -> DataFrame:
-    """bodies(article_id, body), planned assets -> (article_id, body) with links to the vault's files."""
-    good = planned.where("rejected is null").groupBy("article_id").agg(F.map_from_entries(F.collect_list(F.struct("target", encode_path(F.col("vault_path"))))).alias("targets"))
+@F.pandas_udf(StringType())
+def _resolved(folder: pd.Series, target: pd.Series) -> pd.Series:
+    """The file that a local target names, from the folder of its document."""
+    path = lambda t: unquote(urlsplit(t).path if t.startswith("file:") else t)
+    return pd.Series([None if f is None or t is None else posixpath.normpath(posixpath.join(f, path(t))) for f, t in zip(folder, target, strict=True)])
+
+
+def local_assets(references: DataFrame, articles: DataFrame, sources: DataFrame, files: DataFrame) -> DataFrame:
+    """references(article_id, target), files(path, mediaType, contents) -> (article_id, target, mediaType, contents, rejected): images in local files.
+
+    Only an article with exactly one file source of an absolute path may show local images, found from that file's folder.
+    Targets on the web take no part.
+    """
+    local = references.select("article_id", "target").distinct().where(F.col("target").rlike("^file:") | ~F.col("target").rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"))
+    own = articles.select(F.col("id").alias("article_id"), F.explode("sourceIds").alias("sid")).distinct()
+    from_files = sources.where((F.col("kind") == "file") & F.startswith("origin.locator", F.lit("/"))).select(F.col("id").alias("sid"), F.regexp_replace("origin.locator", "/[^/]*$", "").alias("folder")).distinct()
+    place = own.join(from_files, "sid").groupBy("article_id").agg(F.count("*").alias("n"), F.first("folder").alias("folder"))
+    j = local.join(place, "article_id", "left").withColumn("path", F.when(F.col("n") == 1, _resolved(F.coalesce("folder", F.lit("/")), "target")))
+    found = j.join(files.select("path", "mediaType", "contents"), "path", "left")
+    reason = F.when(F.coalesce("n", F.lit(0)) != 1, "needs exactly one file source").when(F.col("contents").isNull(), "no such image file")
+    return found.select("article_id", "target", "mediaType", "contents", reason.alias("rejected"))
+
+
+def rewrite_images(bodies: DataFrame, planned: DataFrame, attachments: str = "attachments", inbox: str = "") -> DataFrame:
+    """bodies(article_id, body), planned assets -> (article_id, body) with links to the vault's files, from the notes' folder."""
+    way = posixpath.relpath(attachments, inbox or ".")
+    link = F.concat(F.lit(way), F.substring("vault_path", len(attachments) + 1, 1 << 30))
+    good = planned.where("rejected is null").groupBy("article_id").agg(F.map_from_entries(F.collect_list(F.struct("target", encode_path(link)))).alias("targets"))
     return bodies.join(good, "article_id", "left").select("article_id", splice(F.col("body"), F.col("targets")).alias("body"))
 
 
@@ -154,8 +185,9 @@ def plan_notes(articles: DataFrame, bodies: DataFrame, assets: DataFrame, inbox:
     planned = plan_assets(refs, assets, articles.select(F.col("id").alias("article_id"), "slug").distinct(), attachments)
     name = articles.select(F.col("id").alias("article_id"), F.concat_ws("/", F.lit(inbox), F.concat(note_name(template), F.lit(".md"))).alias("path"))
     front = frontmatter(articles, tags, custom).withColumnRenamed("id", "article_id")
-    notes = rewrite_images(own, planned).join(name, "article_id").join(front, "article_id").select("article_id", "path", F.concat("frontmatter", "body").cast("binary").alias("contents"))
-    images = planned.where("rejected is null").join(assets.select("target", "contents"), "target").select("article_id", F.col("vault_path").alias("path"), "contents")
+    notes = rewrite_images(own, planned, attachments, inbox).join(name, "article_id").join(front, "article_id").select("article_id", "path", F.concat("frontmatter", "body").cast("binary").alias("contents"))
+    on = ["article_id", "target"] if "article_id" in assets.columns else ["target"]
+    images = planned.where("rejected is null").join(assets.select(*on, "contents"), on).select("article_id", F.col("vault_path").alias("path"), "contents")
     return notes.unionByName(images)
 
 

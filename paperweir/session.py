@@ -44,11 +44,14 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
 
 def row_groups(df: DataFrame, enough: int) -> int:
-    """Row groups of the Parquet files that df scans, counted up to enough; only footers are read, of few files."""
+    """Row groups of the Parquet files that df scans, counted up to enough; only footers are read, of few files.
+
+    Files of another format, which are split otherwise, count as enough.
+    """
     jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
     files = df._jdf.inputFiles()
-    if len(files) >= enough:
-        return len(files)
+    if len(files) >= enough or any(not f.endswith(".parquet") for f in files):
+        return max(len(files), enough)
     n = 0
     for f in files:
         path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f))

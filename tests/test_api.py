@@ -73,6 +73,22 @@ def test_what_was_altered_in_store_is_found(spark, tmp_path):
     assert {r.id for r in lib.export("html").where("artifact is null").collect()} == {aid}
 
 
+def test_commands(spark, tmp_path, capsys):
+    from paperweir.__main__ import main
+
+    (tmp_path / "in.json").write_text('{"kind":"text","value":"One.","label":"A"}\n{"kind":"text","value":" ","label":"B"}\n{"kind":"fax","value":"x","label":"C"}\n')
+    root = f"file://{tmp_path}/lib"
+    run = lambda *a: (main([root, "--now", NOW, *a], spark), capsys.readouterr().out)
+    assert run("read", str(tmp_path / "in.json")) == (0, "1 saved\n1 rejected: Cannot ingest empty text content\n1 rejected: Unsupported source kind: fax\n")
+    code, out = run("list")
+    assert (code, out.split("  ")[-1]) == (0, "A\n")
+    assert f'"id":"{out.split()[0]}"' in run("show", out.split()[0])[1]
+    assert run("publish", "markdown") == (0, "1 published\n")
+    assert run("render", "html", str(tmp_path / "out"))[0] == 0
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+    assert run("verify") == (0, "0 faults\n")
+
+
 def test_no_library_in_a_working_tree(spark, tmp_path):
     (tmp_path / ".git").mkdir()
     with pytest.raises(ValueError, match="Git"):

@@ -190,6 +190,19 @@ def test_assets(spark):
     assert out == {"a": "![x](attachments/s/001-My-pic.png) ![y](q.jpg) ![z](attachments/s/001-My-pic.png)", "b": None}
 
 
+def test_local_images(spark):
+    refs = spark.createDataFrame([("a", "p%20q.png"), ("a", "../up.png"), ("a", "https://e.test/x.png"), ("a", "file:///abs/z.png"), ("b", "p.png"), ("c", "p.png")], "article_id string, target string")
+    a = spark.createDataFrame([("a", ["f1", "u"]), ("b", ["f1", "f2"]), ("c", ["u"])], "id string, sourceIds array<string>")
+    src = spark.createDataFrame([("f1", "file", "/in/d/n.md"), ("f2", "file", "/in/m.md"), ("u", "url", "/x")], "id string, kind string, l string").select("id", "kind", F.struct(F.col("l").alias("locator")).alias("origin"))
+    files = spark.createDataFrame([("/in/d/p q.png", "image/png", b"1"), ("/in/up.png", "image/png", b"2")], "path string, mediaType string, contents binary")
+    got = vault.local_assets(refs, a, src, files)
+    assert {(r.article_id, r.target): r.rejected for r in got.collect()} == {("a", "p%20q.png"): None, ("a", "../up.png"): None, ("a", "file:///abs/z.png"): "no such image file", ("b", "p.png"): "needs exactly one file source", ("c", "p.png"): "needs exactly one file source"}
+    bodies = spark.createDataFrame([("a", "![x](p%20q.png) ![y](https://e.test/x.png)")], "article_id string, body string")
+    own = bodies.select("article_id", F.explode(vault.image_references(F.col("body"))).alias("r")).select("article_id", "r.start", "r.target")
+    plan = vault.plan_assets(own, got.where("rejected is null"), spark.createDataFrame([("a", "s l")], "article_id string, slug string"), "files/img")
+    assert vault.rewrite_images(bodies, plan, "files/img", "notes/in").first().body == "![x](../../files/img/s%20l/001-p-q.png) ![y](https://e.test/x.png)"
+
+
 def test_exports(spark):
     a, s = frames(spark, [article(description="D <x>")], [source()])
     bodies = spark.createDataFrame([(article()["id"], "# T\n\nText [^cite_a] & more<br>x\n\n```\ncode\n```\n")], "id string, body string")
@@ -209,6 +222,9 @@ def test_exports(spark):
     assert checks.check(rec.withColumn("delivery", F.lit(None).cast("struct<confirmedAt:string,confirmationMethod:string,deliveredAt:string>")), checks.export_rules()).first().violations == []
     p = export.delivery_preview(rec, a, "reader@kindle.com", "me@mail.test").first()
     assert (p.recipient, p.filename) == ("r*****@kindle.com", "say-hi.markdown")
+    for bad in ("reader@mail.test", "kindle.com", "a b@kindle.com"):
+        with pytest.raises(ValueError, match="recipient"):
+            export.delivery_preview(rec, a, bad, "me@mail.test")
 
 
 def repacked(data, change=(), without=(), stored=True):
