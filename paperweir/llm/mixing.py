@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperweir.session import materialise
+
 #: Documents that a bucket holds about, and buckets that a part holds.
 BUCKET_DOCUMENTS, PART_BUCKETS = 2_000, 2_000
 
@@ -62,7 +64,9 @@ def mix(sized: DataFrame, targets: DataFrame, total: int | None = None, seed: in
     without tokens and of sources without target are left out. Null ids and sources take no part.
     """
     usable = sized.select("doc_id", "source", "n_tokens").where("doc_id is not null and source is not null and n_tokens > 0").dropDuplicates(["doc_id"])
-    plan = budgets(usable, targets, total).where("budget > 0").select("source", "available", "budget", "epochs")
+    usable = materialise(usable, "usable")
+    # one row a target
+    plan = materialise(budgets(usable, targets, total).where("budget > 0").select("source", "available", "budget", "epochs"), "plan")
     placed = ordered_tokens(usable.join(plan.select("source"), "source", "left_semi"), seed).join(plan, "source")
     spread = placed.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("epochs"))))
     at = (F.col("epoch") - 1) * F.col("available") + F.col("before")
