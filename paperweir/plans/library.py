@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -263,6 +264,31 @@ def font_vote(s, d):
     return fonts.vote(x).withColumnRenamed("id", "page")
 
 
+def _unescaped(c: str) -> str:
+    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "\'\'"), ("&#39;", "\'\'"), ("&nbsp;", " "), ("&amp;", "&")):
+        c = f"replace({c}, '{entity}', '{sign}')"
+    return c
+
+
+def _meta_sql(attribute: str, value: str) -> str:
+    return _plain_sql(_unescaped(f"""regexp_extract("rawHtml", '(?i)<meta[^>]*{attribute}="{value}"[^>]*content="([^"]*)"', 1)"""))
+
+
+@query(f"""select "sourceId" as id, trim(regexp_replace({_meta_sql('property', 'og:title')}, '(&#[xX]?[0-9A-Fa-f]+;|[^\x01-\x7f])+', '', 'g')) as title, {_meta_sql('name', 'author')} as author, {_meta_sql('property', 'article:published_time')} as date from web_articles where "rawHtml" is not null""")
+def page_metadata(s, d):
+    """What the head of each raw page states, read from its tree; of titles the ASCII part, since SQL reads no numeric entities."""
+    from paperweir.functions import articles, dom
+
+    @F.pandas_udf("title string, author string, date string")
+    def stated(pages: pd.Series) -> pd.DataFrame:
+        keys = (("property", "og:title"), ("name", "author"), ("property", "article:published_time"))
+        rows = [[articles._meta(tree, *k) for k in keys] for tree in map(dom.parse_html, pages)]
+        return pd.DataFrame(rows, columns=["title", "author", "date"])
+
+    w = spread(table(s, d, "web_articles").where("rawHtml is not null").select("sourceId", "rawHtml"))
+    return w.select(F.col("sourceId").alias("id"), stated("rawHtml").alias("m")).select("id", F.trim(F.regexp_replace("m.title", r"[^\x01-\x7f]+", "")).alias("title"), "m.author", "m.date")
+
+
 @query()
 def page_articles(s, d):
     """Metadata, Markdown and text that extraction derives of each raw page, in one pass."""
@@ -289,7 +315,17 @@ def html_to_markdown(s, d):
     return spread(table(s, d, "web_articles").select("sourceId", "cleanedHtml")).select(F.col("sourceId").alias("id"), F.sha2(md(F.col("cleanedHtml")), 256).alias("md_hash"))
 
 
-@query()
+_IMAGE = r'!\[[^\]]*\]\(\s*<?[^\s)>]+>?(?:\s+"[^"]*")?\s*\)'
+
+
+@query(
+    rf"""with lines as (select id, pos, l[pos] as line, (regexp_matches(l[pos], '^ {{0,3}}(```|~~~)'))::int as fence from (select "sourceId" as id, string_split(body, chr(10)) as l from web_articles where body is not null), unnest(range(1, len(l) + 1)) t(pos)),
+placed as (select *, sum(fence) over (partition by id order by pos) as fences, coalesce(sum(length(line) + 1) over (partition by id order by pos rows between unbounded preceding and 1 preceding), 0) as off from lines),
+m as (select id, off, regexp_extract_all(line, '{_IMAGE}') as m, regexp_split_to_array(line, '{_IMAGE}') as parts from placed where fences % 2 = 0 and fence = 0),
+e as (select id, m[k] as hit, off + list_sum(list_transform(parts[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0) as base from m, unnest(range(1, len(m) + 1)) t(k))
+select id, cast(base + strpos(hit, '](') + case when contains(hit, '](<') then 2 else 1 end as integer) as start, cast(base + strpos(hit, '](') + case when contains(hit, '](<') then 2 else 1 end + length(regexp_extract(hit, '\]\(<?([^\s)>]+)', 1)) as integer) as "end",
+regexp_extract(hit, '\]\(<?([^\s)>]+)', 1) as target from e"""
+)
 def image_refs_outside_code(s, d):
     refs = F.explode(vault.image_references(F.col("body")))
     return table(s, d, "web_articles").where("body is not null").select(F.col("sourceId").alias("id"), refs.alias("r")).select("id", "r.start", "r.end", "r.target")
@@ -649,12 +685,25 @@ def vault_notes(s, d):
     return vault.delivered(planned, "vault", "inbox", NOW).select(F.col("articleId").alias("article_id"), F.col("destination.notePath").alias("path"), F.col("id").alias("export_id"), F.col("artifact.contentHash").alias("hash"))
 
 
-@query()
+def _esc(c: str) -> str:
+    return _ESC_HTML.replace("{c}", c)
+
+
+@query(
+    f"""with {BODIES_SQL}, l as (select a.id, string_agg(case when coalesce(s.url, '') <> '' then '<a href="' || {_esc('s.url')} || '">' || {_esc("coalesce(nullif(s.title, ''), nullif(s.url, ''), s.loc)")} || '</a>' else {_esc("coalesce(nullif(s.title, ''), nullif(s.url, ''), s.loc)")} end, ' · ' order by pos) as links
+from (select distinct id, "sourceIds" as sids from articles) a, unnest(range(1, len(sids) + 1)) t(pos) join (select distinct id, title, origin.canonicalUrl as url, origin.locator as loc from sources) s on s.id = a.sids[pos] group by a.id)
+select a.id, sha256('<!doctype html>' || chr(10) || '<html lang="' || {_esc("coalesce(language, 'en')")} || '">' || chr(10) || '<head>' || chr(10) || '<meta charset="utf-8">' || chr(10) || '<meta name="viewport" content="width=device-width, initial-scale=1">' || chr(10) || '<title>' || {_esc('a.title')} || '</title>' || chr(10)
+|| '<style>{export.STYLE.replace("'", "''")}</style>' || chr(10) || '</head>' || chr(10) || '<body data-font-style="' || coalesce(presentation.sourceFontStyle, 'serif') || '" data-image-sizing="' || case when coalesce(presentation.imageScalePercent, 100) < 100 then 'scaled' else 'default' end
+|| '" style="--article-image-max-width: ' || coalesce(presentation.imageScalePercent, 100) || '%">' || chr(10) || '<article class="article-shell">' || chr(10) || '<header class="article-header">' || chr(10) || '<h1 class="article-title">' || {_esc('a.title')} || '</h1>' || chr(10)
+|| case when coalesce(description, '') <> '' then '<p class="article-description">' || {_esc('description')} || '</p>' || chr(10) else '' end || case when coalesce(array_to_string(authors, ', '), '') <> '' then '<p class="article-meta">' || {_esc("array_to_string(authors, ', ')")} || '</p>' || chr(10) else '' end
+|| case when coalesce(links, '') <> '' then '<p class="article-source">Sources: ' || links || '</p>' || chr(10) else '' end || '</header>' || chr(10)) as head_hash, cast(case when mode = 'archive' then 0 else coalesce(len(citations), 0) end as integer) as n_markers
+from (select distinct * from articles) a join bodies b on b.id = a.id left join l on l.id = a.id where a.title is not null"""
+)
 def html_exports(s, d):
-    """HTML artifacts of archive articles; faithful: the visible body still has the archived text's hash."""
-    a = _articles(s, d)
-    x = export.html_export(a, _bodies(s, d), _sources(s, d)).join(a.select("id", F.col("body.textHash").alias("h")), "id")
-    return x.select("id", F.sha2("artifact", 256).alias("hash"), (F.col("text_hash") == F.col("h")).alias("faithful"))
+    """HTML artifacts of all articles with a body: what stands before it, and how many numbered markers it has."""
+    a = _articles(s, d).where("title is not null")
+    x = export.html_export(a, _bodies(s, d), _sources(s, d))
+    return x.select("id", F.sha2(F.substring_index("artifact", '<main class="article-body">', 1), 256).alias("head_hash"), F.regexp_count("artifact", F.lit('<sup class="article-citation">')).alias("n_markers"))
 
 
 @query(f"with {BODIES_SQL} select a.id, ascii(right(a.id, 1)) % 4 <> 0 as valid, case when ascii(right(a.id, 1)) % 4 = 0 then 0 else 3 end as \"manifestItems\", case when ascii(right(a.id, 1)) % 4 = 0 then 0 else 1 end as \"spineItems\", case when ascii(right(a.id, 1)) % 4 = 0 then 0 else 6 end as n_files from (select distinct id from articles) a join bodies b on b.id = a.id")
