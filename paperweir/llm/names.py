@@ -219,9 +219,9 @@ def _alike_tokens(tokens: DataFrame) -> DataFrame:
     places = F.array(*[F.struct((F.col("len") + a).alias("len"), (F.col("at") + b).alias("at")) for a, b in ((0, 0), (1, 0), (1, 1))])
     asks = prefix.select("token", "gram", F.explode(places).alias("p"), F.col("len").alias("own")).select("token", "gram", "own", "p.len", "p.at")
     pairs = asks.join(prefix.withColumnRenamed("token", "alike"), ["gram", "len", "at"]).where((F.col("own") < F.col("len")) | (F.col("token") < F.col("alike"))).select("token", "alike").distinct()
-    # an exchange of neighbours counts two for levenshtein; it leaves the same letters
-    letters = lambda c: F.array_sort(F.split(F.col(c), ""))
-    near = pairs.where((F.levenshtein("token", "alike", 1) >= 0) | ((F.length("token") == F.length("alike")) & (F.levenshtein("token", "alike", 2) >= 0) & (letters("token") == letters("alike"))))
+    # an exchange of neighbours counts two for levenshtein
+    swapped = F.exists(F.sequence(F.lit(1), F.length("token") - 1), lambda i: F.concat(F.substring("token", F.lit(1), i - 1), F.substring("token", i + 1, F.lit(1)), F.substring("token", i, F.lit(1)), F.substring("token", i + 2, F.length("token"))) == F.col("alike"))
+    near = pairs.where((F.levenshtein("token", "alike", 1) >= 0) | ((F.length("token") == F.length("alike")) & (F.levenshtein("token", "alike", 2) >= 0) & swapped))
     plain = tokens.select("token", F.regexp_replace("token", _UMLAUT.pattern, "").alias("plain"))
     same = plain.join(plain.select(F.col("token").alias("alike"), "plain"), "plain").where("token < alike").select("token", "alike")
     both = near.unionByName(same)
